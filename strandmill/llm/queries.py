@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm.groups import linked_groups
 from strandmill.llm.set_join import similar_set_pairs
 from strandmill.llm.stable_sample import DOMAIN, sql_place, threshold, with_place
+from strandmill.llm.tokens import encoded
 from strandmill.operators.skew import SLICE, heavy_keys, sliced, spread
 from strandmill.sources.tables import table
 
@@ -46,7 +49,18 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     return chosen.where(F.col("place") < threshold(F.col("portion"))).select("sample_label", "portion", "read_idx", "id")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_sample": p5_sample}
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies: in the folder named by STRANDMILL_TOKENIZERS or the installed one."""
+    folder = os.environ.get("STRANDMILL_TOKENIZERS", "/opt/tokenizers")
+    return os.path.join(folder, name)
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document."""
+    return encoded(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", vocabulary("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_sample": p5_sample, "p6_ids": p6_ids}
 
 SQL = {
     "p3_found": """

@@ -34,17 +34,21 @@ def with_place(records: DataFrame, identifier: str, seed: int = 0, rounds: int =
     """``records`` with the place of a bigint identifier in the permuted domain.
 
     The place is null outside [0, 2**62) and for null. The round function
-    squares and scales 31-bit halves, so nothing exceeds a bigint: built-in
-    arithmetic only. Each round is a projection of its own, or else the
-    expression would triple with every round.
+    squares and scales 31-bit halves, so nothing exceeds a bigint. The rounds
+    are folded over an array of constants: written out, the expression would
+    triple with every round.
     """
-    wide = records.withColumns({"__left": F.shiftright(F.col(identifier), HALF_BITS), "__right": F.col(identifier).bitwiseAND(F.lit(_MASK))})
-    for factor, offset in round_keys(seed, rounds):
-        right = F.col("__right")
-        scrambled = F.shiftright(right * right + right * F.lit(factor) + F.lit(offset), 13).bitwiseAND(F.lit(_MASK))
-        wide = wide.withColumns({"__left": right, "__right": F.col("__left").bitwiseXOR(scrambled)})
-    place = F.when(F.col(identifier).between(0, DOMAIN - 1), F.shiftleft("__left", HALF_BITS).bitwiseOR(F.col("__right")))
-    return wide.withColumn(name, place).drop("__left", "__right")
+    number = F.col(identifier)
+    keys = F.array(*[F.struct(F.lit(factor).cast("long").alias("factor"), F.lit(offset).cast("long").alias("offset")) for factor, offset in round_keys(seed, rounds)])
+    halves = F.struct(F.shiftright(number, HALF_BITS).alias("left"), number.bitwiseAND(F.lit(_MASK)).alias("right"))
+
+    def one_round(at: Column, key: Column) -> Column:
+        right = at["right"]
+        scrambled = F.shiftright(right * right + right * key["factor"] + key["offset"], 13).bitwiseAND(F.lit(_MASK))
+        return F.struct(right.alias("left"), at["left"].bitwiseXOR(scrambled).alias("right"))
+
+    place = F.aggregate(keys, halves, one_round, lambda at: F.shiftleft(at["left"], HALF_BITS).bitwiseOR(at["right"]))
+    return records.withColumn(name, F.when(number.between(0, DOMAIN - 1), place))
 
 
 def threshold(rate: Column) -> Column:
