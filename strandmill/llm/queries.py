@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm.groups import linked_groups
+from strandmill.llm.leakage import leaked_items
 from strandmill.llm.set_join import similar_set_pairs
 from strandmill.llm.stable_sample import DOMAIN, sql_place, threshold, with_place
 from strandmill.llm.tokens import encoded
@@ -60,7 +61,23 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", vocabulary("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_sample": p5_sample, "p6_ids": p6_ids}
+def leaks(spark: SparkSession, folder: str, edits: int) -> DataFrame:
+    items = table(spark, folder, "eval_items", "item_id", "text", "lang")
+    found = leaked_items(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", items, "item_id", "text", "lang", edits)
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "edits")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item word for word."""
+    return leaks(spark, folder, 0).select("doc_id", "item_id")
+
+
+def p7_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item with at most two edited letters."""
+    return leaks(spark, folder, 2)
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_sample": p5_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_edited": p7_edited}
 
 SQL = {
     "p3_found": """
