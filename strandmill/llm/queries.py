@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.groups import linked_groups
 from strandmill.llm.leakage import leaked_items
+from strandmill.llm.sentences import sentence_units
 from strandmill.llm.set_join import similar_set_pairs
 from strandmill.llm.stable_sample import DOMAIN, sql_place, threshold, with_place
 from strandmill.llm.tokens import encoded
@@ -77,7 +78,12 @@ def p7_edited(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(spark, folder, 2)
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_sample": p5_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_edited": p7_edited}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sentence units of every document."""
+    return sentence_units(table(spark, folder, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_sample": p5_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_edited": p7_edited, "p8_found": p8_found}
 
 SQL = {
     "p3_found": """
