@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.groups import linked_groups
 from strandmill.llm.leakage import leaked_items
+from strandmill.llm.near_copies import near_copy_pairs
 from strandmill.llm.sentences import sentence_units
 from strandmill.llm.set_join import similar_set_pairs
 from strandmill.llm.stable_sample import DOMAIN, sql_place, threshold, with_place
@@ -17,6 +18,13 @@ from strandmill.operators.skew import SLICE, heavy_keys, sliced, spread
 from strandmill.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of reads of at least 120 bases with an identity of at least 0.9."""
+    reads = table(spark, folder, "read_records", "read_idx", "seq", "loaded_at")
+    pairs = near_copy_pairs(reads, "read_idx", "seq", "loaded_at", identity=0.9, least=120)
+    return pairs.select(F.col("a").alias("read_a"), F.col("b").alias("read_b"))
+
+
 def mate_links(spark: SparkSession, folder: str) -> DataFrame:
     """``query, target`` for every element of ``passing_targets``; rows with a null query link nothing."""
     mates = table(spark, folder, "mate_results", "query", "passing_targets").where("query IS NOT NULL")
@@ -83,7 +91,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_units(table(spark, folder, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p5_sample": p5_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_edited": p7_edited, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_sample": p5_sample, "p6_ids": p6_ids, "p7_found": p7_found, "p7_edited": p7_edited, "p8_found": p8_found}
 
 SQL = {
     "p3_found": """
