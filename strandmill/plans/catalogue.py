@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandmill.plans import heavy_queries
+from strandmill.plans import heavy_queries, mate_queries
 
-FLAGSHIP = "p2_hash_profile"
-QUERIES = {**heavy_queries.QUERIES}
-SQL = {**heavy_queries.SQL}
+FLAGSHIP = "best_mate_sketch"
+QUERIES = {**heavy_queries.QUERIES, **mate_queries.QUERIES}
+SQL = {**heavy_queries.SQL, **mate_queries.SQL}
