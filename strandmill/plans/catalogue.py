@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from strandmill.plans import heavy_queries, mate_queries
+from strandmill.plans import curve_queries, heavy_queries, mate_queries, sequence_queries
 
 FLAGSHIP = "best_mate_sketch"
-QUERIES = {**heavy_queries.QUERIES, **mate_queries.QUERIES}
-SQL = {**heavy_queries.SQL, **mate_queries.SQL}
+_MODULES = (heavy_queries, sequence_queries, mate_queries, curve_queries)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
