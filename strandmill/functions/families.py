@@ -110,7 +110,7 @@ def starts(family: Family, centre: float, gamma: tuple | None) -> list[tuple]:
     return [(w, s, s / (mean * low), s, s / (mean * high)) for w in (0.2, 0.5, 0.8) for low in (0.7, 0.9) for high in (1.1, 1.4) for s in (20.0, 120.0)]
 
 
-def simplex(loss: Callable[[np.ndarray], float], start: np.ndarray, iterations: int = 250) -> tuple[float, np.ndarray]:
+def simplex(loss: Callable[[np.ndarray], float], start: np.ndarray, iterations: int) -> tuple[float, np.ndarray]:
     """Downhill simplex search."""
     points = [start] + [start + 0.25 * unit for unit in np.eye(len(start))]
     scored = sorted(((loss(p), n, p) for n, p in enumerate(points)), key=lambda s: s[:2])
@@ -144,7 +144,7 @@ def simplex(loss: Callable[[np.ndarray], float], start: np.ndarray, iterations:
     return scored[0][0], scored[0][2]
 
 
-def fitted(family: Family, x: np.ndarray, y: np.ndarray, centre: float, gamma: tuple | None = None, kept: int = 3) -> tuple[tuple, float]:
+def fitted(family: Family, x: np.ndarray, y: np.ndarray, centre: float, gamma: tuple | None = None) -> tuple[tuple, float]:
     """Parameters and squared error of the best fit: all starts are screened, the best few are refined within the bounds."""
     low, high = np.log([b[0] for b in family.bounds]), np.log([b[1] for b in family.bounds])
 
@@ -156,7 +156,9 @@ def fitted(family: Family, x: np.ndarray, y: np.ndarray, centre: float, gamma: t
         return error if math.isfinite(error) else 1e300
 
     screened = sorted((np.log(np.clip(s, [b[0] for b in family.bounds], [b[1] for b in family.bounds])) for s in starts(family, centre, gamma)), key=loss)
-    error, z = min((simplex(loss, s) for s in screened[:kept]), key=lambda r: r[0])
+    error, z = min((simplex(loss, s, 80 * len(s)) for s in screened[: 10 if family is MIXTURE else 3]), key=lambda r: r[0])
+    for _ in range(2):  # a fresh simplex gets away from where the first one collapsed
+        error, z = min((error, z), simplex(loss, z, 80 * len(z)), key=lambda r: r[0])
     found = parameters(z)
     if family is MIXTURE and found[1] / found[2] > found[3] / found[4]:
         found = (1 - found[0], found[3], found[4], found[1], found[2])

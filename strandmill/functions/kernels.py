@@ -101,7 +101,7 @@ def banded_alignment(query: np.ndarray, target: np.ndarray, band: int) -> tuple[
     climb = np.arange(width) * extend
     best = np.where(offsets == 0, 0, np.where((offsets > 0) & (offsets <= m), opening + offsets * extend, _NOTHING))
     down = np.full(width, _NOTHING)
-    padded = np.full(m + 2 * half + 2, 5, np.uint8)
+    padded = np.full(max(n, m) + 2 * half + 2, 5, np.uint8)
     padded[half : half + m] = target
     for i in range(1, n + 1):
         segment = padded[i - 1 : i - 1 + width]

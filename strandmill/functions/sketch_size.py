@@ -78,17 +78,13 @@ def chance(s: int, k: int, identity: float, length: int, reference: int) -> floa
 
 
 def filter_parameters(length: int, k: int = 16, identity: float = 0.95, p_value: float = 0.001, reference: int = 100_000) -> FilterParameters:
-    """The least sketch size out of 1, 2, 5, 10, 20, 50 ... under ``length`` whose chance hits stay under ``p_value``, else ``length``."""
-    size, found, reached = 1, length, 1.0
-    steps = (2.0, 2.5, 2.0)
-    turn = 0
-    while size < length:
-        reached_now = chance(size, k, identity, length, reference)
-        if reached_now <= p_value:
-            found, reached = size, reached_now
+    """The least sketch size out of 1, 2, 5 and the tens under ``length`` whose chance hits stay under ``p_value``, else ``length``."""
+    found, reached = length, 1.0
+    for size in (1, 2, 5, *range(10, length, 10)):
+        expected = chance(size, k, identity, length, reference)
+        if expected <= p_value:
+            found, reached = size, expected
             break
-        size = round(size * steps[turn % 3])
-        turn += 1
     window = min(max(2 * length // found, 1), length)
     return FilterParameters(window, found, least_hits(found, k, identity), reached)
 
