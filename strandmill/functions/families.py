@@ -116,7 +116,7 @@ def simplex(loss: Callable[[np.ndarray], float], start: np.ndarray, iterations:
     scored = sorted(((loss(p), n, p) for n, p in enumerate(points)), key=lambda s: s[:2])
     count = len(scored)
     for _ in range(iterations):
-        if scored[-1][0] - scored[0][0] < 1e-12:
+        if scored[-1][0] - scored[0][0] < 1e-10:
             break
         centre = np.mean([p for _, _, p in scored[:-1]], axis=0)
         worst = scored[-1][2]
@@ -156,7 +156,7 @@ def fitted(family: Family, x: np.ndarray, y: np.ndarray, centre: float, gamma: t
         return error if math.isfinite(error) else 1e300
 
     screened = sorted((np.log(np.clip(s, [b[0] for b in family.bounds], [b[1] for b in family.bounds])) for s in starts(family, centre, gamma)), key=loss)
-    error, z = min((simplex(loss, s, 80 * len(s)) for s in screened[: 10 if family is MIXTURE else 3]), key=lambda r: r[0])
+    error, z = min((simplex(loss, s, 80 * len(s)) for s in screened[: 6 if family is MIXTURE else 3]), key=lambda r: r[0])
     for _ in range(2):  # a fresh simplex gets away from where the first one collapsed
         error, z = min((error, z), simplex(loss, z, 80 * len(z)), key=lambda r: r[0])
     found = parameters(z)
