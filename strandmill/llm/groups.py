@@ -17,7 +17,7 @@ from strandmill.operators.skew import SLICE, heavy_keys, lookup_join, sliced, sp
 from strandmill.workspace import Workspace
 
 #: Rate of the exponential head starts: their mean, in hops, is 1 / RATE.
-RATE = 0.2
+RATE = 0.05
 #: Rounds of growth on a level.
 ROUNDS = 3
 #: Each level leaves a fraction of the clusters; this many levels suffice for any graph that fits a cluster.
