@@ -59,11 +59,14 @@ def curve(reads: DataFrame, mates: DataFrame, replicates: int, divide: float, se
     placed = lookup_join(paired.drop("mate_label"), samples.select("sample_label", "portions"), "sample_label", ["read_idx"])
     drawn = placed.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
 
-    def entry(read: str) -> Column:
-        number = uniform(F.lit(seed), F.col("replicate"), F.col(read))
+    def entry(number: Column) -> Column:
         return F.size(F.filter("portions", lambda p: p <= number))
 
-    entered = drawn.select("sample_label", "replicate", "len", entry("read_idx").alias("at"), F.when(F.col("mate").isNotNull(), F.greatest(entry("read_idx"), entry("mate"))).alias("found_at"))
+    # bound to a lambda's variable, so that a number is drawn once and not for each portion it is compared with
+    numbers = F.array(F.struct(*(uniform(F.lit(seed), F.col("replicate"), F.col(c)).alias(name) for c, name in (("read_idx", "own"), ("mate", "other")))))
+    at = F.transform(numbers, lambda n: F.struct(entry(n["own"]).alias("own"), entry(n["other"]).alias("other")))[0]
+    entered = drawn.select("sample_label", "replicate", "len", F.col("mate").isNotNull().alias("paired"), at.alias("entry"))
+    entered = entered.select("sample_label", "replicate", "len", F.col("entry.own").alias("at"), F.when(F.col("paired"), F.greatest("entry.own", "entry.other")).alias("found_at"))
     steps = F.explode(F.array(F.struct(F.col("at").alias("at"), F.col("len").alias("sampled"), F.lit(0).cast("long").alias("found")), F.struct(F.col("found_at").alias("at"), F.lit(0).cast("long").alias("sampled"), F.col("len").alias("found"))))
     gained = entered.select("sample_label", "replicate", steps.alias("step")).where("step.at IS NOT NULL").groupBy("sample_label", "replicate", F.col("step.at").alias("at"))
     gained = gained.agg(F.sum("step.sampled").alias("sampled"), F.sum("step.found").alias("found"))
