@@ -173,7 +173,7 @@ def banded_distance(pattern: str, text: str, budget: int) -> int:
     width = m - n + 2 * budget  # diagonals -budget .. m - n + budget
     if width < 0:
         return budget + 1
-    if not budget:
+    if not budget or pattern in text:
         return 0 if pattern in text else 1
     far = budget + 1
     row = [0 if 0 <= d - budget <= m else far for d in range(width + 1)]
