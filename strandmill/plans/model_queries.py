@@ -74,7 +74,13 @@ def plot_points(spark: SparkSession, folder: str) -> DataFrame:
     return model_points_clean(spark, folder).where("effort >= 1e6").select("sample_label", "effort", "coverage")
 
 
-QUERIES = {f.__name__: f for f in (model_points_clean, fit_input, fit_transition, burr_cdf, gamma_cdf, family_fits, selected_models, family_curves, plot_guides, plot_points)}
+def plot_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """The bars of the diversity plot: samples that have a model."""
+    points = model_points_clean(spark, folder)
+    return M.selected_models(points, M.family_fits(points)).where("diversity IS NOT NULL").select("sample_label", "diversity", "diversity_q99")
+
+
+QUERIES = {f.__name__: f for f in (model_points_clean, fit_input, fit_transition, burr_cdf, gamma_cdf, family_fits, selected_models, family_curves, plot_guides, plot_points, plot_bars)}
 
 
 def _one(column: str) -> str:
