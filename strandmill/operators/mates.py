@@ -11,6 +11,8 @@ from strandmill.functions.sequences import identity_of_similarity
 from strandmill.operators.skew import distinct_entries, entry_counts
 
 ENTRY = ["hash", "target", "pos", "rev"]
+#: Positions of a target whose seeds are kept in one row.
+SEED_BLOCK = 8192
 
 
 def reads_with_length(records: DataFrame) -> DataFrame:
@@ -100,10 +102,26 @@ def window_scores(windows: DataFrame, seeds: DataFrame, index_hits: DataFrame, s
     Adds ``shared, denominator, identity``: of the ``sketch_size`` smallest
     hashes of the union how many both have. Without a seed on one side nothing
     is shared.
+
+    Seeds travel once a candidate, not once a window: a candidate has few
+    windows (the grid's length is bounded), which are unfolded after the joins.
+    A target's seeds are kept in blocks of positions, of which a candidate
+    fetches those its windows reach; so a very long target is never held or sent
+    whole, however many reads meet it.
     """
+    pair = ["query", "target", "rev"]
+    fields = [c for c in windows.columns if c not in pair]
+    ends = F.max(F.col("t_start") + F.col("overlap"))
+    candidates = windows.groupBy(*pair).agg(F.collect_list(F.struct(*fields)).alias("windows"), F.min("t_start").alias("low"), ends.alias("high"))
     own = distinct_entries(seeds, ["read_idx", "hash", "pos"]).groupBy(F.col("read_idx").alias("query")).agg(F.collect_list(F.struct("hash", "pos")).alias("q_seeds"))
-    other = distinct_entries(index_hits, ENTRY).groupBy("target", "rev").agg(F.collect_list(F.struct("hash", "pos")).alias("t_seeds"))
-    both = windows.join(own, "query").join(other, ["target", "rev"])
+    blocks = distinct_entries(index_hits, ENTRY).withColumn("block", F.expr(f"CAST(pos AS BIGINT) div {SEED_BLOCK}"))
+    blocks = blocks.groupBy("target", "rev", "block").agg(F.collect_list(F.struct("hash", "pos")).alias("seeds"))
+    reach = F.sequence(F.expr(f"low div {SEED_BLOCK}"), F.expr(f"(high - 1) div {SEED_BLOCK}"))
+    reached = candidates.select(*pair, "low", "high", F.explode(reach).alias("block")).join(blocks, ["target", "rev", "block"])
+    part = F.filter("seeds", lambda s: (s["pos"] >= F.col("low")) & (s["pos"] < F.col("high")))
+    other = reached.groupBy(*pair).agg(F.flatten(F.collect_list(part)).alias("t_seeds"))
+    both = candidates.join(other, pair, "left").join(own, "query").withColumn("window", F.explode("windows"))
+    both = both.select(*pair, "window.*", "q_seeds", F.coalesce("t_seeds", F.array().cast("array<struct<hash:bigint,pos:int>>")).alias("t_seeds"))
     both = both.withColumns({"x": in_window("q_seeds", "q_start"), "y": in_window("t_seeds", "t_start")}).drop("q_seeds", "t_seeds")
     both = both.withColumn("u", F.slice(F.array_sort(F.array_union("x", "y")), 1, sketch_size))
     common = F.size(F.array_intersect(F.array_intersect("u", "x"), "y"))
