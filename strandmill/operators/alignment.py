@@ -47,5 +47,5 @@ def aligned_mates(records: DataFrame, best: DataFrame, settings: Settings) -> Da
     aligned = parts.repartition(records.sparkSession.sparkContext.defaultParallelism * 2).mapInArrow(lambda b: alignment_batches(b, settings.band), PAIR)
     aligned = aligned.withColumns({"identity": F.col("matches") / F.col("columns"), "score": F.col("score") + F.least("hits", F.lit(10000)), "tie": F.xxhash64(F.lit(settings.seed), "query", "target")})
     order = W.partitionBy("query").orderBy(F.desc("identity"), F.desc("coverage"), F.desc("ratio"), F.desc("matches"), F.desc("score"), F.desc("tie"), "rev")
-    first = aligned.withColumn("rank", F.row_number().over(order)).where("rank = 1")
-    return first.select("query", F.col("target").alias("mate"), "rev", "identity", "ratio", "coverage", "score", "matches", (F.col("columns") - F.col("matches")).alias("edits"), passing.alias("passes"))
+    first = aligned.withColumns({"rank": F.row_number().over(order), "aligned": F.count(F.lit(1)).over(W.partitionBy("query"))}).where("rank = 1")
+    return first.select("query", F.col("target").alias("mate"), "rev", "identity", "ratio", "coverage", "score", "matches", (F.col("columns") - F.col("matches")).alias("edits"), passing.alias("passes"), "aligned")

@@ -38,22 +38,24 @@ def usable_entries(index_hits: DataFrame, most: int) -> DataFrame:
     return distinct_entries(index_hits, ENTRY).join(heavy, "hash", "left_anti")
 
 
-def bands(seeds: DataFrame, entries: DataFrame, diagonal_bin: int, least: int) -> DataFrame:
+def bands(seeds: DataFrame, entries: DataFrame, diagonal_bin: int, least: int | str) -> DataFrame:
     """Shared seeds of two reads counted by strand and diagonal bin.
 
     ``query, target, rev, bin, hits, center, min_diag, max_diag``: ``hits``
-    counts distinct query positions (``least`` or more), ``center`` averages
+    counts distinct query positions (``least`` or more; the name of a column of
+    ``seeds`` where samples differ), ``center`` averages
     over all shared seeds and is cut toward zero, bins are floored. A read never
     meets itself. Every hash has a bounded number of entries, so no key of the
     join is heavy.
     """
     shared = seeds.join(entries, "hash").where("query <> target")
     diagonal = (F.col("pos") - F.col("q_pos")).cast("long")
-    placed = shared.select("query", "target", "rev", "q_pos", diagonal.alias("diag"), F.floor(diagonal / F.lit(float(diagonal_bin))).alias("bin"))
+    enough = F.col(least) if isinstance(least, str) else F.lit(least)
+    placed = shared.select("query", "target", "rev", "q_pos", enough.alias("enough"), diagonal.alias("diag"), F.floor(diagonal / F.lit(float(diagonal_bin))).alias("bin"))
     grouped = placed.groupBy("query", "target", "rev", "bin").agg(
-        F.countDistinct("q_pos").alias("hits"), F.sum("diag").alias("total"), F.count(F.lit(1)).alias("n"), F.min("diag").alias("min_diag"), F.max("diag").alias("max_diag")
+        F.countDistinct("q_pos").alias("hits"), F.sum("diag").alias("total"), F.count(F.lit(1)).alias("n"), F.min("diag").alias("min_diag"), F.max("diag").alias("max_diag"), F.max("enough").alias("enough")
     )
-    return grouped.where(F.col("hits") >= least).select("query", "target", "rev", "bin", "hits", F.expr("total div n").alias("center"), "min_diag", "max_diag")
+    return grouped.where("hits >= enough").select("query", "target", "rev", "bin", "hits", F.expr("total div n").alias("center"), "min_diag", "max_diag")
 
 
 def best_bands(found: DataFrame) -> DataFrame:
