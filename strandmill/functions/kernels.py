@@ -13,6 +13,8 @@ for _letters, _value in ((b"Aa", 0), (b"Cc", 1), (b"Gg", 2), (b"TtUu", 3)):
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND = 2, -4, -4, -2
 #: Fields of a packed cell: score, matches, columns.
 _FIELD = 20
+#: Field of the matches where columns travel by themselves.
+_WIDE_FIELD = 28
 _NOTHING = -(1 << 61)
 
 
@@ -83,7 +85,8 @@ def banded_alignment(query: np.ndarray, target: np.ndarray, band: int) -> tuple[
 
     Of alignments with one score the one with more matches counts. The three
     figures travel in one integer a cell, so no traceback is kept; rows are
-    bands, so memory does not grow with the product of the lengths. ``band``
+    bands, so memory does not grow with the product of the lengths. Where the
+    columns could exceed their field, they travel in a second one. ``band``
     under 0 means no band. Code 4 matches nothing.
     """
     n, m = len(query), len(target)
@@ -94,6 +97,8 @@ def banded_alignment(query: np.ndarray, target: np.ndarray, band: int) -> tuple[
         return MATCH * n, n, n
     half = max(n, m) if band < 0 else band + abs(m - n)
     width = 2 * half + 1
+    if n + m >= 1 << _FIELD:
+        return wide_alignment(query, target, half)
     unit = 1 << (2 * _FIELD)
     match = MATCH * unit + (1 << _FIELD) + 1
     mismatch, extend, opening = MISMATCH * unit + 1, GAP_EXTEND * unit + 1, GAP_OPEN * unit
@@ -120,3 +125,51 @@ def banded_alignment(query: np.ndarray, target: np.ndarray, band: int) -> tuple[
     columns = cell & ((1 << _FIELD) - 1)
     matches = (cell >> _FIELD) & ((1 << _FIELD) - 1)
     return cell >> (2 * _FIELD), matches, columns
+
+
+def larger(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The larger of each two pairs."""
+    first = (x[0] > y[0]) | ((x[0] == y[0]) & (x[1] >= y[1]))
+    return np.where(first, x[0], y[0]), np.where(first, x[1], y[1])
+
+
+def running_largest(x: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The largest pair so far at each place."""
+    top = np.maximum.accumulate(x[0])
+    run = np.cumsum(np.append(0, top[1:] != top[:-1])) << 34
+    return top, np.maximum.accumulate(run + np.where(x[0] == top, x[1], -(1 << 32))) - run
+
+
+def wide_alignment(query: np.ndarray, target: np.ndarray, half: int) -> tuple[int, int, int]:
+    """:func:`banded_alignment` with score and matches in one integer and columns in another, for long overlaps."""
+    n, m = len(query), len(target)
+    width = 2 * half + 1
+    unit = 1 << _WIDE_FIELD
+    opening = GAP_OPEN * unit
+    offsets = np.arange(width) - half
+    steps = np.arange(width)
+    climb = steps * (GAP_EXTEND * unit)
+    none, zero = np.full(width, _NOTHING), np.zeros(width, np.int64)
+    best = (np.where(offsets == 0, 0, np.where((offsets > 0) & (offsets <= m), opening + offsets * (GAP_EXTEND * unit), _NOTHING)), np.where((offsets > 0) & (offsets <= m), offsets, 0))
+    down = (none, zero)
+    padded = np.full(max(n, m) + 2 * half + 2, 5, np.uint8)
+    padded[half : half + m] = target
+    for i in range(1, n + 1):
+        segment = padded[i - 1 : i - 1 + width]
+        column = offsets + i
+        inside = (column >= 0) & (column <= m)
+        step = np.where((segment == query[i - 1]) & (segment < 4), MATCH * unit + 1, MISMATCH * unit)
+        met = inside & (column >= 1) & (best[0] > _NOTHING // 2)
+        diagonal = np.where(met, best[0] + step, _NOTHING), np.where(met, best[1] + 1, 0)
+        opened = np.append(best[0][1:] + opening, _NOTHING), np.append(best[1][1:], 0)
+        down = larger((np.append(down[0][1:], _NOTHING), np.append(down[1][1:], 0)), opened)
+        met = inside & (down[0] > _NOTHING // 2)
+        down = np.where(met, down[0] + GAP_EXTEND * unit, _NOTHING), np.where(met, down[1] + 1, 0)
+        entry = larger(diagonal, down)
+        top, columns = running_largest((np.maximum(entry[0], _NOTHING // 2) - climb, entry[1] - steps))
+        right = np.append(_NOTHING, top[:-1] + climb[1:] + opening), np.append(0, columns[:-1] + steps[1:])
+        best = larger(entry, right)
+        met = inside & (best[0] > _NOTHING // 2)
+        best = np.where(met, best[0], _NOTHING), np.where(met, best[1], 0)
+    at = half + m - n
+    return int(best[0][at]) >> _WIDE_FIELD, int(best[0][at]) & (unit - 1), int(best[1][at])

@@ -74,6 +74,19 @@ def test_alignment_equals_cells(seed):
     assert K.banded_alignment(K.codes(q), K.codes(t), -1)[:2] == (score, matches)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_alignment_beyond_a_field(seed, monkeypatch):
+    rng = random.Random(seed)
+    q = bases(rng, rng.randrange(30, 60), "ACGTN")
+    t = "".join(x for x in q if rng.random() > 0.15) + bases(rng, rng.randrange(0, 6))
+    for band in (-1, 3):
+        expected = K.banded_alignment(K.codes(q), K.codes(t), band)
+        with monkeypatch.context() as small:
+            small.setattr(K, "_FIELD", 4)
+            assert K.banded_alignment(K.codes(q), K.codes(t), band) == expected
+    assert expected[2] >= 1 << 4
+
+
 def test_extremes_and_minimizers():
     rng = np.random.default_rng(1)
     for n, width in ((1, 1), (7, 3), (50, 8), (41, 41)):
