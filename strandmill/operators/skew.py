@@ -2,51 +2,79 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is heavy from this share of the rows on, so that there are at most 256 heavy keys.
-HEAVY_SHARE = 1 / 256
-#: Below so many rows one task manages a key in any case.
+#: A key is heavy from so many rows on: as many as one task should get of a single key.
 HEAVY_ROWS = 50_000
-#: Slices into which the rows of a heavy key are cut.
+#: Fewest heavy keys that are told apart; beyond it as many as there are shuffle partitions.
+FEWEST_KEYS = 256
+#: Slices of a heavy key whose size is not known.
 SLICES = 64
 
 SLICE = "__slice"
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, rows: int = HEAVY_ROWS) -> list:
-    """Values of ``key`` that own at least ``share`` of all rows and at least ``rows`` rows.
+class HeavyKeys(list):
+    """Heavy keys, the largest first, and into how many slices (a power of two) each is cut."""
+
+    def __init__(self, sizes: Sequence[tuple], rows: int, most: int):
+        super().__init__(key for key, _ in sizes)
+        self.slices: dict[int, list] = {}
+        for key, size in sizes:
+            number = 1 << max(1, min(math.ceil(math.log2(size / rows)), math.ceil(math.log2(2 * most))))
+            self.slices.setdefault(number, []).append(key)
+
+
+def most_heavy(spark: SparkSession) -> int:
+    """How many heavy keys are told apart: a key beyond them is smaller than the mean shuffle partition."""
+    return max(FEWEST_KEYS, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def heavy_counts(counts: DataFrame, key: str, count: str, rows: int = HEAVY_ROWS) -> HeavyKeys:
+    """Heavy keys of a table that has the number of rows of each key; see :func:`heavy_keys`."""
+    most = most_heavy(counts.sparkSession)
+    large = counts.where((F.col(count) >= rows) & F.col(key).isNotNull()).orderBy(F.desc(count)).limit(most).select(key, count).collect()
+    return HeavyKeys([tuple(r) for r in large], rows, most)
+
+
+def heavy_keys(df: DataFrame, key: str, rows: int = HEAVY_ROWS) -> HeavyKeys:
+    """Values of ``key`` that own ``rows`` rows or more, whatever their share of the table.
 
     The counts are partial aggregates, so only one row a key and partition
-    moves. At most ``1 / share`` values can qualify; that bounds what reaches
-    the driver. Nulls are never heavy; an empty table has no heavy key.
+    moves. Of the heavy keys the largest come to the driver, as many as there
+    are shuffle partitions (256 at least): any other owns less than a
+    partition's fair share. Nulls are never heavy; an empty table has no heavy key.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    large = counts.where(F.col("n") >= rows).orderBy(F.desc("n")).limit(int(1 / share)).collect()
-    if not large:
-        return []
-    total = df.count()
-    return [r["k"] for r in large if r["n"] >= share * total]
+    return heavy_counts(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key, "__n", rows)
+
+
+def slices_of(heavy: Sequence, otherwise: int = SLICES) -> dict[int, list]:
+    """The heavy keys by their number of slices."""
+    if isinstance(heavy, HeavyKeys):
+        return heavy.slices
+    return {otherwise: list(heavy)} if heavy else {}
 
 
-def is_heavy(key: str | Column, heavy: Sequence) -> Column:
-    """Whether ``key`` is one of the heavy values; false for null."""
-    column = F.col(key) if isinstance(key, str) else key
-    return F.coalesce(column.isin(list(heavy)), F.lit(False)) if heavy else F.lit(False)
+def by_slices(key: str, heavy: Sequence, then: Callable[[int], Column], otherwise: Column) -> Column:
+    column = otherwise
+    for number, keys in slices_of(heavy).items():
+        column = F.when(F.col(key).isin(keys), then(number)).otherwise(column)
+    return column
 
 
-def sliced(df: DataFrame, key: str, heavy: Sequence, by: Sequence[str], slices: int = SLICES) -> DataFrame:
+def sliced(df: DataFrame, key: str, heavy: Sequence, by: Sequence[str]) -> DataFrame:
     """Give the rows of heavy keys a slice number from the values of ``by``; all others get slice 0."""
-    number = F.pmod(F.xxhash64(*by), F.lit(slices)).cast("int")
-    return df.withColumn(SLICE, F.when(is_heavy(key, heavy), number).otherwise(0))
+    place = F.xxhash64(*by)
+    return df.withColumn(SLICE, by_slices(key, heavy, lambda n: F.pmod(place, F.lit(n)).cast("int"), F.lit(0)))
 
 
-def spread(df: DataFrame, key: str, heavy: Sequence, slices: int = SLICES) -> DataFrame:
+def spread(df: DataFrame, key: str, heavy: Sequence) -> DataFrame:
     """The counterpart of :func:`sliced`: a row of a heavy key is repeated once for each slice."""
-    numbers = F.when(is_heavy(key, heavy), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
+    numbers = by_slices(key, heavy, lambda n: F.sequence(F.lit(0), F.lit(n - 1)), F.array(F.lit(0)))
     return df.withColumn(SLICE, F.explode(numbers))
 
 

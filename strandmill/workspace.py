@@ -15,9 +15,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the setting is missing (local tests) a new temporary one is set."""
+    """The cluster's shared folder. Where the setting is missing a new temporary one is set, but only if all tasks run in this process."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{SETTING} is not set: on {master} intermediate tables need a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strandmill-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from strandmill.operators.skew import entry_counts, heavy_keys, key_profile, lookup_join
+from strandmill.workspace import shared_folder
 
 SCHEMA = "hash long, target long, pos int, rev boolean, extra string"
 ROWS = [
@@ -38,3 +40,33 @@ def test_lookup_join_keeps_null_keys_on_left(spark):
     one = spark.createDataFrame([(5, "x")], "k long, v string")
     found = {r["row"]: r["v"] for r in lookup_join(many, one, "k", ["row"], [5], "left").collect()}
     assert found == {1: None, 2: "x", 3: None}
+
+
+def test_a_key_below_any_share_of_the_rows_is_heavy_by_its_size(spark):
+    rows_of = spark.range(60_000).select(F.col("id").alias("row"), F.when(F.col("id") < 150, 7).otherwise(F.col("id")).cast("long").alias("k"))
+    one = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    heavy = heavy_keys(rows_of, "k", rows=100)  # 150 rows are less than 1/256 of 60,000
+    assert heavy == [7] and heavy.slices == {2: [7]}
+    joined = lookup_join(rows_of, one, "k", ["row"], heavy)
+    assert joined.count() == rows_of.join(one, "k").count() and joined.where("k = 7").count() == 150
+
+
+def test_slices_grow_with_the_key(spark):
+    heavy = heavy_keys(spark.range(5000).selectExpr("id % 2 AS k"), "k", rows=10)
+    assert sorted(heavy) == [0, 1] and list(heavy.slices) == [256]
+    assert heavy_keys(spark.range(0).selectExpr("id AS k"), "k") == []
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    class Conf:
+        def get(self, name, default):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(Session())
