@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import colorsys
 import math
+import textwrap
 from collections.abc import Sequence
 from html import escape
 
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 
 from strandmill.sources.readers import MODEL_COLUMNS
 
-#: Hues turn by the golden angle from the first; lightness and saturation of the samples' colours.
-FIRST_HUE, TURN, LIGHTNESS, SATURATION = 202.0, 137.50776405, (0.31, 0.43, 0.36, 0.48), 0.70
+#: Steps between the hues of following samples, in twelfths of the colour circle, and the share of black from round to round.
+HUE_STEP, DARKER = 5, 0.2
+#: Width of a bar's label.
+LABEL_WIDTH = 16
 WIDTH, HEIGHT, MARGIN, CURVES = 1040, 450, 50, 0.60
 
 
@@ -87,15 +90,14 @@ def write_models(lines: DataFrame, path: str) -> None:
 
 
 def colour(number: int) -> str:
-    """Colour of the sample with this number."""
-    hue = (FIRST_HUE + TURN * number) % 360 / 360
-    red, green, blue = colorsys.hls_to_rgb(hue, LIGHTNESS[number % len(LIGHTNESS)], SATURATION)
-    return f"#{round(red * 255):02x}{round(green * 255):02x}{round(blue * 255):02x}"
+    """Colour of the sample with this number: twelve hues, darker with each round."""
+    level = 0.85 * (1 - DARKER) ** (number // 12 % 4)
+    return "#" + "".join(f"{round(255 * part):02x}" for part in colorsys.hsv_to_rgb(number * HUE_STEP % 12 / 12, 0.75, level))
 
 
-def short_label(label: str, most: int = 14) -> str:
-    """A label of at most ``most`` characters."""
-    return label if len(label) <= most else label[: most - 3] + "..."
+def short_label(label: str) -> str:
+    """As many whole words of a label as fit below its bar."""
+    return textwrap.shorten(label, LABEL_WIDTH, placeholder="...")
 
 
 def svg_plot(curves: dict[str, list[tuple[float, float]]], dots: dict[str, list[tuple[float, float]]], bars: dict[str, float]) -> str:
