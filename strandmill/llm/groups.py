@@ -3,7 +3,7 @@
 On every level each vertex draws a head start from an exponential
 distribution. Clusters grow one hop a round from their centres, which start
 the earlier the larger their head start; a vertex joins the cluster that
-reaches it first. Clusters then become the vertices of the next level, the
+reaches it first. Growth goes on until no vertex changes. Clusters then become the vertices of the next level, the
 links between different clusters its links. When no link is left the levels'
 assignments are composed from the last to the first.
 """
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from strandmill.operators.skew import SLICE, heavy_keys, lookup_join, sliced, spread
 from strandmill.workspace import Workspace
 
-#: Rate of the exponential head starts: their mean, in hops, is 1 / RATE.
-RATE = 0.05
-#: Rounds of growth on a level.
-ROUNDS = 3
+#: Rate of the exponential head starts: their mean, in hops, is 1 / RATE, and no cluster's radius is above ln(vertices) / RATE but by rare chance.
+RATE = 0.25
+#: Hops between two looks at whether the clusters still grow.
+STEP = 4
 #: Each level leaves a fraction of the clusters; this many levels suffice for any graph that fits a cluster.
 MAX_LEVELS = 200
 
@@ -30,24 +30,43 @@ def head_start(vertex: str, level: int, seed: int, rate: float):
     return -F.log(uniform) / F.lit(rate)
 
 
-def grown_clusters(links: DataFrame, heavy: list, level: int, rate: float, rounds: int, seed: int) -> DataFrame:
-    """``src, centre`` of every vertex of ``links`` (src, dst, slice), which holds both directions.
+def one_hop(hops: DataFrame, state: DataFrame, heavy: list) -> DataFrame:
+    """``src, best, own``: the earliest arrival at each vertex over its hops, and the one it had.
 
-    The state of a vertex is the earliest arrival so far and its centre. A
-    round sends it over the links, one hop later; minima are partial
-    aggregates, so a vertex with many links gathers one row a partition.
+    ``hops`` leads from each vertex to its neighbours and, without a delay, to
+    itself, so the state is read once and the plan grows by one join and one
+    aggregate a round. Minima are partial aggregates: a vertex with many links
+    gathers one row a partition.
     """
-    state = links.select("src").distinct().select("src", F.struct((-head_start("src", level, seed, rate)).alias("time"), F.col("src").alias("centre")).alias("best"))
-    for _ in range(rounds):
-        sent = (
-            links.join(spread(state, "src", heavy), ["src", SLICE])
-            .select(F.col("dst").alias("src"), F.struct((F.col("best.time") + 1.0).alias("time"), F.col("best.centre").alias("centre")).alias("best"))
-        )
-        state = state.unionByName(sent).groupBy("src").agg(F.min("best").alias("best"))
+    met = hops.join(spread(state, "src", heavy), ["src", SLICE]) if heavy else hops.join(state, "src")
+    arrival = F.struct((F.col("best.time") + F.col("delay")).alias("time"), F.col("best.centre").alias("centre"))
+    sent = met.select(F.col("dst").alias("src"), "delay", arrival.alias("best"))
+    return sent.groupBy("src").agg(F.min("best").alias("best"), F.min(F.when(F.col("delay") == 0, F.col("best"))).alias("own"))
+
+
+def grown_clusters(links: DataFrame, heavy: list, level: int, work: Workspace, rate: float, step: int, seed: int) -> DataFrame:
+    """``src, centre`` of every vertex of ``links`` (src, dst), which holds both directions.
+
+    The state of a vertex is the earliest arrival so far and its centre. It is
+    sent over the links, one hop later, until a round changes no vertex.
+    """
+    vertices = links.select("src").distinct()
+    hops = links.select("src", "dst", F.lit(1.0).alias("delay")).unionByName(vertices.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("delay")))
+    hops = sliced(hops, "src", heavy, ["dst"]) if heavy else hops
+    state = vertices.select("src", F.struct((-head_start("src", level, seed, rate)).alias("time"), F.col("src").alias("centre")).alias("best"))
+    grown, number = True, 0
+    while grown:
+        for _ in range(step):
+            state = one_hop(hops, state.select("src", "best"), heavy)
+        state = work.keep(state, f"state{level}-{number}")
+        if number:
+            work.forget(f"state{level}-{number - 1}")
+        grown = not state.where("best < own").isEmpty()
+        number += 1
     return state.select("src", F.col("best.centre").alias("centre"))
 
 
-def linked_groups(links: DataFrame, a: str, b: str, rate: float = RATE, rounds: int = ROUNDS, seed: int = 7, heavy_rows: int | None = None) -> DataFrame:
+def linked_groups(links: DataFrame, a: str, b: str, rate: float = RATE, step: int = STEP, seed: int = 7, heavy_rows: int | None = None) -> DataFrame:
     """``vertex, group``: the smallest vertex that each linked vertex reaches, itself included.
 
     ``links`` holds pairs of bigint vertices in columns ``a`` and ``b``; other
@@ -64,7 +83,7 @@ def linked_groups(links: DataFrame, a: str, b: str, rate: float = RATE, rounds:
     levels = []
     for level in range(MAX_LEVELS):
         heavy = heavy_keys(current, "src", **limits)
-        clusters = work.keep(grown_clusters(sliced(current, "src", heavy, ["dst"]), heavy, level, rate, rounds, seed), f"clusters{level}")
+        clusters = grown_clusters(current, heavy, level, work, rate, step, seed)
         members = clusters.withColumn("least", F.col("src")) if smallest is None else clusters.join(smallest.select(F.col("centre").alias("src"), "least"), "src")
         smallest = work.keep(members.groupBy("centre").agg(F.min("least").alias("least")), f"smallest{level}")
         levels.append((clusters, smallest))
@@ -80,11 +99,13 @@ def linked_groups(links: DataFrame, a: str, b: str, rate: float = RATE, rounds:
         raise RuntimeError(f"links between clusters are left after {MAX_LEVELS} levels")
 
     label = None  # src -> group on the level below the one in hand
-    for clusters, smallest in reversed(levels):
+    for number, (clusters, smallest) in reversed(list(enumerate(levels))):
         of_centre = smallest.select("centre", F.col("least").alias("group"))
         if label is not None:
             of_centre = smallest.join(label.select(F.col("src").alias("centre"), F.col("group").alias("deeper")), "centre", "left").select(
                 "centre", F.coalesce("deeper", "least").alias("group")
             )
-        label = lookup_join(clusters, of_centre, "centre", ["src"], **({} if heavy_rows is None else {"heavy": heavy_keys(clusters, "centre", rows=heavy_rows)})).select("src", "group")
+        label = lookup_join(clusters, of_centre, "centre", ["src"], heavy_keys(clusters, "centre", **limits)).select("src", "group")
+        if number % 4 == 3:  # else the plan would grow with the levels
+            label = work.keep(label, f"label{number}")
     return label.select(F.col("src").alias("vertex"), "group")
