@@ -26,7 +26,7 @@ CLOSING = r"[\"'”’»“‘›)\]}）」』】》〉］｣]"
 CLOSERS = rf"{CLOSING}*(?:«(?!\w)|[ \u00a0\u202f]»(?!\w))?"
 OPENING = r"[\"'“‘«»„‚‹(\[{（「『【《〈［｢¿¡–—-]"
 FULL_STOPS = "。！？｡"
-OTHER_STOPS = "।॥።፧؟"
+OTHER_STOPS = "।॥።፧؟។៕။"
 LINE_BREAKS = r"\r\n|[\n\r\v\f\u0085\u2028\u2029]"
 
 
@@ -43,25 +43,36 @@ def never_after(*abbreviations: str, then: str = "") -> Rule:
     return Rule(False, rf"(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(abbreviations)})\.", then)
 
 
+#: What follows an abbreviation that is a word as well (art, cap, fig): a number, Roman ones included, or a single letter.
+NUMBER = rf"{BLANK}*[(\[]?(?:\p{{N}}|[IVXLC]+\b|\p{{Lu}}\b|\p{{Ll}}\b)"
+
 #: Abbreviations that need a continuation, and speech tags of scripts without capitals.
 TABLES: dict[str, list[Rule]] = {
     "en": [
         never_after("Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Gen", "Capt", "Lt", "Sgt", "Col", "Maj", "Rev", "Hon", "Gov", "Sen", "Rep", "Mt", "Messrs"),
-        never_after(r"e\.\s?g", r"i\.\s?e", "cf", "vs", "viz", "approx", "esp", "incl", "resp", "Sec", "sec", "Fig", "fig", "Figs", "Eq", "Ch", "vol", "Vol", "pp", "ed", "eds", "apt", "Apt", "al"),
-        never_after("No", "Nos", "p", "no", then=rf"{BLANK}*\p{{N}}"),
+        never_after(r"e\.\s?g", r"i\.\s?e", "cf", "vs", "viz", "approx", "esp", "incl", "resp", r"et\s+al"),
+        never_after("Sec", "sec", "Fig", "fig", "Figs", "figs", "Eq", "eq", "Ch", "ch", "vol", "Vol", "pp", "ed", "eds", "apt", "Apt", "No", "Nos", "p", "no", "Art", "Rm", "Ste", then=NUMBER),
+        never_after("Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sept", "Sep", "Oct", "Nov", "Dec", then=rf"{BLANK}*\p{{N}}"),
+        never_after("Jr", "Sr", then=rf"{BLANK}+(?!(?:He|She|It|They|The|A|An|This|That|These|We|I|You|In|On|At|But|And|His|Her|When|There)\b)\p{{Lu}}"),
     ],
     "de": [
-        never_after("Hr", "Fr", "Dr", "Prof", "St", "Nr", "Bd", "Abb", "Abs", "Art", "Str", "Tel", "Kap", "Hrsg", "bzw", "ca", "vgl", "inkl", "evtl", "ggf", "sog", "geb", "gest", "bspw", "zzgl", "Mio", "Mrd"),
+        never_after("Hr", "Fr", "Dr", "Prof", "St", "Nr", "Hrsg", "bzw", "ca", "vgl", "inkl", "evtl", "ggf", "sog", "geb", "gest", "bspw", "zzgl", "Mio", "Mrd"),
+        never_after("Bd", "Abb", "Abs", "Art", "Str", "Tel", "Kap", "Jan", "Febr", "Aug", "Sept", "Okt", "Nov", "Dez", then=NUMBER),
         never_after(r"z\.\s?B", r"z\.\s?T", r"d\.\s?h", r"u\.\s?a", r"u\.\s?U", r"i\.\s?d\.\s?R", r"o\.\s?ä", r"v\.\s?a", r"s\.\s?o"),
         never_after("z", "d", "u", "i", "o", "v", "s", then=rf"{BLANK}+(?:B|T|h|a|U|d|R|ä|o)\."),
-        Rule(False, r"(?<!\w)(?:am|vom|zum|beim|ab|bis|seit|der|den|dem|im)\s\d{1,2}\.", rf"{BLANK}+\p{{Lu}}"),
+        Rule(False, r"(?<!\w)(?:[Aa]m|[Vv]om|[Zz]um|[Bb]eim|[Aa]b|[Bb]is|[Ss]eit|[Dd]er|[Dd]en|[Dd]em|[Ii]m)\s\d{1,2}\.", rf"{BLANK}+\p{{Lu}}"),
+        Rule(False, r"(?<!\w)\d{1,2}\.", rf"{BLANK}+(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b"),
     ],
     "fr": [
-        never_after("MM", "Mme", "Mmes", "Mlle", "Mgr", "Me", "Dr", "Pr", "St", "Ste", "env", "cf", r"p\.\s?ex", r"c\.-\S{1,2}-d", "art", "fig", "vol", "chap", "av", "apr", "boul", "tél", "éd"),
+        never_after("MM", "Mme", "Mmes", "Mlle", "Mgr", "Me", "Dr", "Pr", "St", "Ste", "env", "cf", r"p\.\s?ex", r"c\.-\S{1,2}-d", "boul", "tél", "éd"),
+        never_after("art", "fig", "vol", "chap", then=NUMBER),
+        never_after("av", "apr", then=rf"{BLANK}+J\.-C"),
         never_after("p", then=rf"{BLANK}+(?:ex\.|\p{{N}})"),
     ],
     "es": [
-        never_after("Sr", "Sra", "Srta", "Sres", "Dr", "Dra", "Ing", "Lic", "Prof", "Dña", "Ud", "Uds", "Vd", "Avda", r"p\.\s?ej", "cf", "aprox", "núm", "pág", "págs", "art", "fig", "vol", "cap"),
+        never_after("Sr", "Sra", "Srta", "Sres", "Dr", "Dra", "Ing", "Lic", "Prof", "Dña", "Ud", "Uds", "Vd", "Avda", r"p\.\s?ej", "cf", "aprox"),
+        never_after("núm", "pág", "págs", "art", "fig", "vol", "cap", then=NUMBER),
+        never_after("EE", then=rf"{BLANK}*UU\."),
         never_after("p", then=rf"{BLANK}+(?:ej\.|\p{{N}})"),
     ],
     "ru": [

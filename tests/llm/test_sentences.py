@@ -41,3 +41,18 @@ def test_table(spark):
     assert [x for x in found if x[0] is None] == [(None, 0, 3)]
     assert [x for x in found if x[0] == 5] == [(5, 0, 149999)]
     assert sentence_units(df.limit(0), "doc", "body").count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, tag, expected",
+    [
+        ("He studied modern art. She paints.", "en", 2), ("He wore a cap. He left.", "en", 2), ("He is a nice chap. He left.", "en", 2),
+        ("She ate a fig. It was ripe.", "en", 2), ("That is apt. We agree.", "en", 2), ("Das ist eine neue Art. Sie ist schön.", "de", 2),
+        ("C'est de l'art. Elle peint.", "fr", 2), ("Born on Jan. 5 in Ohio.", "en", 1), ("John Smith Jr. Williams came home.", "en", 1),
+        ("He met John Smith Jr. He left.", "en", 2), ("Am 3. Oktober war es. Dann nicht.", "de", 2), ("Vive en EE. UU. desde 1990.", "es", 1),
+        ("See Fig. 3 and Art. 5 there.", "en", 1), ("Siehe Art. 5 des Gesetzes.", "de", 1), ("ខ្ញុំទៅផ្ទះ។ គាត់ទៅសាលា។", "km", 2), ("သူသွားသည်။ ကျွန်တော်လာသည်။", "my", 2),
+    ],
+)
+def test_words_that_are_abbreviations_too(text, tag, expected):
+    for given in (tag, None):
+        assert len(units(text, given)) == expected
