@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.workspace import Workspace
+
 #: A passage: so many consecutive words, or so many letters of an item in Chinese or Japanese.
 WORDS, LETTERS = 12, 24
 #: Longest q-gram; shorter ones are taken where passages or the edit budget need them.
@@ -100,16 +102,19 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return total ^ (total >> np.uint64(29))
 
 
-class ItemIndex:
-    """The q-grams of a block of items, sorted by hash, with the bounds of each item."""
+def longest_gram(item: Item, edits: int) -> int:
+    """The q-gram length that suits an item: its shortest passage must share some with an occurrence that has all the edits."""
+    return int(max(1, min(LONGEST_GRAM, min(n for _, n in item.passages) // (edits + 1))))
 
-    def __init__(self, rows: list[tuple[int, str | None, str | None]], edits: int = 0):
-        self.edits = edits
-        found = [(key, item) for key, item in ((key, item_of(text, lang)) for key, text, lang in rows) if item.passages]
+
+class GramIndex:
+    """The q-grams of items with one q-gram length, sorted by hash, with the bounds of each item."""
+
+    def __init__(self, found: list[tuple[int, Item]], q: int, edits: int):
+        self.edits, self.q = edits, q
         self.keys, self.items = [k for k, _ in found], [i for _, i in found]
         shortest = np.array([min(n for _, n in i.passages) for i in self.items], np.int64)
         longest = np.array([max(n for _, n in i.passages) for i in self.items], np.int64)
-        self.q = int(max(1, min([LONGEST_GRAM, *(shortest // (edits + 1))])))
         self.needed = np.maximum(shortest + 1 - self.q * (edits + 1), 1)
         self.span = longest - self.q + 2 * edits
         hashes = [gram_hashes(code_points(i.letters), self.q) for i in self.items]
@@ -163,58 +168,75 @@ class ItemIndex:
             yield int(text[k]), int(item[k]), low, low + (2 * width - 1 if self.edits else 0), a, z
 
 
-def banded_distance(pattern: str, text: str, budget: int) -> int:
-    """Least edits of ``pattern`` against any part of ``text`` that begins within its first ``len(text) - len(pattern) + budget`` places.
+class ItemIndex:
+    """A block of items; one index for each q-gram length, so that an item of short passages costs the others nothing."""
+
+    def __init__(self, rows: list[tuple[int, str | None, str | None]], edits: int = 0):
+        found: dict[int, list[tuple[int, Item]]] = {}
+        for key, text, lang in rows:
+            item = item_of(text, lang)
+            if item.passages:
+                found.setdefault(longest_gram(item, edits), []).append((key, item))
+        self.parts = [GramIndex(of, q, edits) for q, of in sorted(found.items())]
+        self.keys = [key for part in self.parts for key in part.keys]
 
-    Only cells within the band of possible diagonals are computed; more than
-    ``budget`` edits count as ``budget + 1``.
+
+def banded_distance(pattern: str, text: str, spread: int, budget: int | None = None) -> int:
+    """Least edits of ``pattern`` against any part of ``text`` that begins within its first ``len(text) - len(pattern) + spread`` places.
+
+    Only cells within the band of possible diagonals are computed, a row at a
+    time over all of them; more than ``budget`` edits (``spread`` by default) count as ``budget + 1``.
     """
+    budget = spread if budget is None else budget
     n, m = len(pattern), len(text)
-    width = m - n + 2 * budget  # diagonals -budget .. m - n + budget
+    width = m - n + 2 * spread  # diagonals -spread .. m - n + spread
     if width < 0:
         return budget + 1
-    if not budget or pattern in text:
-        return 0 if pattern in text else 1
+    if pattern in text:
+        return 0
+    if budget < 1:
+        return budget + 1
     far = budget + 1
-    row = [0 if 0 <= d - budget <= m else far for d in range(width + 1)]
-    for i in range(1, n + 1):
-        below = []
-        for d in range(width + 1):
-            j = i + d - budget
-            if j < 0 or j > m:
-                below.append(far)
-                continue
-            best = row[d] + (j == 0 or pattern[i - 1] != text[j - 1])
-            if d < width:
-                best = min(best, row[d + 1] + 1)
-            if d:
-                best = min(best, below[d - 1] + 1)
-            below.append(min(best, far))
-        row = below
-        if min(row) >= far:
+    place = np.arange(width + 1) - spread
+    slope = np.arange(width + 1)
+    letters = np.full(n + 2 * width + 2 + spread, 0xFFFFFFFF, np.uint32)
+    letters[spread : spread + m] = code_points(text)
+    row = np.where((place >= 0) & (place <= m), 0, far)
+    for i, letter in enumerate(code_points(pattern), 1):
+        # the text's letter under a diagonal; letters outside of the text match nothing
+        best = row + (letters[i - 1 : i + width] != letter)
+        best[:-1] = np.minimum(best[:-1], row[1:] + 1)
+        best = np.where((place + i >= 0) & (place + i <= m), best, far)
+        row = np.minimum(np.minimum.accumulate(best - slope) + slope, far)
+        if row.min() >= far:
             return far
-    return min(row)
+    return int(row.min())
 
 
-def verified(item: Item, letters: str, starts: list[int], region: tuple[int, int, int, int], budget: int, q: int) -> int | None:
-    """Edits of the first passage of ``item`` that lies in the band and region within the budget, None if there is none.
+def verified(item: Item, letters: str, starts: list[int], region: tuple[int, int, int, int], budget: int, q: int, spread: int) -> int | None:
+    """Least edits, ``budget`` at most, of a passage of ``item`` that lies in the band and region, None if there is none.
 
-    Without edits a passage of words must also fill whole words of the text.
+    ``spread`` is the edits the filter allows. Without edits a passage of words
+    must also fill whole words of the text.
     """
     low, high, first, last = region
-    margin = (q + 2) * budget  # edits may spoil so much before the first and after the last common q-gram
+    margin = (q + 2) * spread  # edits may spoil so much before the first and after the last common q-gram
+    least = None
     for start, length in item.passages:
         begin, end = start + low, start + length + high
         if end > last + margin or begin < first - margin:
             continue
         passage = item.letters[start : start + length]
-        if budget:
-            edits = banded_distance(passage, letters[max(0, begin - budget) : end + budget], budget)
-            if edits <= budget:
-                return edits
-        elif letters[begin:end] == passage and (not item.whole_words or same_words(item, start, length, starts, begin)):
-            return 0
-    return None
+        if not spread:
+            if letters[begin:end] == passage and (not item.whole_words or same_words(item, start, length, starts, begin)):
+                return 0
+            continue
+        edits = banded_distance(passage, letters[max(0, begin - spread) : end + spread], spread, budget)
+        if edits <= budget:
+            least, budget = edits, edits - 1
+            if not edits:
+                break
+    return least
 
 
 def same_words(item: Item, start: int, length: int, starts: list[int], at: int) -> bool:
@@ -248,48 +270,53 @@ def leak_batches(batches: Iterator[pa.RecordBatch], index: ItemIndex) -> Iterato
 
 
 def leaks_in(texts: list[tuple], index: ItemIndex) -> Iterator[tuple]:
-    """``key, item, edits`` of the items that the (key, words) texts hold."""
+    """``key, item, edits`` of the items that the (key, words) texts hold, with the least edits of each."""
     if not texts or not index.keys:
         return
     letters = ["".join(words) for _, words in texts]
-    joined = "\0".join(letters)
+    joined = code_points("\0".join(letters))
     lengths = np.array([len(x) + 1 for x in letters])
     begin = np.cumsum(lengths) - lengths
     text_of = np.repeat(np.arange(len(texts)), lengths)[: len(joined)]
     boundaries: dict[int, list[int]] = {}
-    done: set[tuple[int, int]] = set()
-    for text, item, low, high, first, last in index.regions(code_points(joined), text_of):
-        if (text, item) in done:
-            continue
-        if text not in boundaries:
-            boundaries[text] = [0, *np.cumsum([len(w) for w in texts[text][1]]).tolist()]
-        at = int(begin[text])
-        edits = verified(index.items[item], letters[text], boundaries[text], (low - at, high - at, first - at, last - at), index.edits, index.q)
-        if edits is not None:
-            done.add((text, item))
-            yield texts[text][0], index.keys[item], edits
+    for part in index.parts:
+        least: dict[tuple[int, int], int] = {}
+        for text, item, low, high, first, last in part.regions(joined, text_of):
+            budget = least.get((text, item), part.edits + 1) - 1
+            if budget < 0:
+                continue
+            if text not in boundaries:
+                boundaries[text] = [0, *np.cumsum([len(w) for w in texts[text][1]]).tolist()]
+            at = int(begin[text])
+            edits = verified(part.items[item], letters[text], boundaries[text], (low - at, high - at, first - at, last - at), budget, part.q, part.edits)
+            if edits is not None:
+                least[text, item] = edits
+        for (text, item), edits in least.items():
+            yield texts[text][0], part.keys[item], edits
 
 
 def leaked_items(documents: DataFrame, document: str, text: str, items: DataFrame, item: str, item_text: str, lang: str, edits: int = 0, block: int = BLOCK_CHARACTERS) -> DataFrame:
-    """``document, item, edits``: every document and the items of which it holds a passage.
+    """``document, item, edits``: every document and the items of which it holds a passage, with the least edits.
 
     With ``edits`` a passage may differ by so many letters, and word
     boundaries don't count. Items are indexed in blocks of about ``block``
-    characters, one pass over the corpus each; nothing else leaves the tasks.
-    Null and empty texts, and items shorter than a passage, give no row; each
-    pair comes once however often it occurs or its rows are repeated.
+    characters, one pass over the corpus each; the driver holds one block at a
+    time, and the result of a pass is written before the next begins. Null and
+    empty texts, and items shorter than a passage, give no row; each pair comes
+    once however often it occurs or its rows are repeated.
     """
+    work = Workspace(documents.sparkSession, "leaks")
     rows = items.select(F.col(item).cast("long").alias("item"), F.col(item_text).alias("text"), F.col(lang).alias("lang")).where("item IS NOT NULL AND text IS NOT NULL")
     characters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + int(characters) // block
     corpus = documents.select(F.col(document).alias("key"), F.col(text).alias("text"))
     kind = documents.schema[document].dataType.simpleString()
-    passes = []
+    found = None
     for number in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number).collect()
         index = ItemIndex([(r["item"], r["text"], r["lang"]) for r in part], edits)
-        passes.append(corpus.mapInArrow(lambda batches, index=index: leak_batches(batches, index), f"key {kind}, item long, edits int"))
-    found = passes[0]
-    for further in passes[1:]:
-        found = found.unionByName(further)
+        leaks = corpus.mapInArrow(lambda batches, index=index: leak_batches(batches, index), f"key {kind}, item long, edits int")
+        if blocks > 1:
+            leaks = work.keep(leaks, f"pass{number}")
+        found = leaks if found is None else found.unionByName(leaks)
     return found.groupBy("key", "item").agg(F.min("edits").alias("edits"))

@@ -94,3 +94,49 @@ def test_kernels():
     assert banded_distance("kitten", "xxsittingxx", 3) == 2
     assert banded_distance("abc", "zzz", 1) == 2 and banded_distance("abc", "", 1) == 2
     assert ItemIndex([(1, "a b", "en")]).keys == []
+
+
+def least_edits(passage, text):
+    """Cell by cell: least edits of the passage against any part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(passage, 1):
+        row, last = [i], row
+        for j, y in enumerate(text, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return min(row)
+
+
+def test_edited_passages_equal_brute_force(spark):
+    rng = random.Random(9)
+    lexicon = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    items = [(k, " ".join(rng.choice(lexicon) for _ in range(rng.randrange(12, 17))), "en") for k in range(12)]
+    items.append((50, " ".join("abcdefghijkl"), "en"))  # twelve words of one letter
+    docs = []
+    for d in range(60):
+        words = rng.choice(items)[1].split()
+        a = rng.randrange(max(1, len(words) - 12))
+        part = list(" ".join(words[a : a + rng.randrange(11, 15)]))
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(part))
+            part[at : at + 1] = rng.choice([[], [rng.choice("abcxyz")], [part[at], "q"]])
+        docs.append((d, " ".join(rng.choice(lexicon) for _ in range(rng.randrange(9))) + " " + "".join(part) + " " + rng.choice(lexicon)))
+    expected = {}
+    for d, text in docs:
+        letters = "".join(words_of(text))
+        for k, passage, _ in items:
+            own = words_of(passage)
+            edits = min(least_edits("".join(own[i : i + 12]), letters) for i in range(len(own) - 11))
+            if edits <= 2:
+                expected[d, k] = edits
+    assert len(expected) > 25 and set(expected.values()) == {0, 1, 2}
+    d = spark.createDataFrame([(k, t, 1) for k, t in docs], DOCS)
+    rows = leaked_items(d, "doc", "body", spark.createDataFrame(items, ITEMS), "item_no", "text", "lang", edits=2).collect()
+    assert {(r["key"], r["item"]): r["edits"] for r in rows} == expected
+
+
+def test_least_edits_where_a_passage_stands_twice(spark):
+    text = "the quick brown fox jumps over the lazy dog while seven wizards"
+    docs = [(1, text.replace("quick", "quack").replace("dog", "dig") + " and then " + text)]
+    d = spark.createDataFrame([(k, t, 1) for k, t in docs], DOCS)
+    rows = leaked_items(d, "doc", "body", spark.createDataFrame([(7, text, "en")], ITEMS), "item_no", "text", "lang", edits=2).collect()
+    assert [(r["item"], r["edits"]) for r in rows] == [(7, 0)]
