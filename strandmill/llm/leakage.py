@@ -103,8 +103,8 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 def longest_gram(item: Item, edits: int) -> int:
-    """The q-gram length that suits an item: its shortest passage must share some with an occurrence that has all the edits."""
-    return int(max(1, min(LONGEST_GRAM, min(n for _, n in item.passages) // (edits + 1))))
+    """The q-gram length that suits an item: an occurrence with all the edits still shares a third of its shortest passage's grams."""
+    return int(max(1, min(LONGEST_GRAM, 2 * min(n for _, n in item.passages) // (3 * (edits + 1)))))
 
 
 class GramIndex:
@@ -222,10 +222,14 @@ def verified(item: Item, letters: str, starts: list[int], region: tuple[int, int
     low, high, first, last = region
     margin = (q + 2) * spread  # edits may spoil so much before the first and after the last common q-gram
     least = None
-    for start, length in item.passages:
+    places = [(start, length) for start, length in item.passages if start + length + high <= last + margin and start + low >= first - margin]
+    if spread and places:
+        # a passage without an edit settles it, whichever comes first
+        around = letters[max(0, places[0][0] + low - spread) : max(start + length for start, length in places) + high + spread]
+        if any(item.letters[start : start + length] in around for start, length in places):
+            return 0
+    for start, length in places:
         begin, end = start + low, start + length + high
-        if end > last + margin or begin < first - margin:
-            continue
         passage = item.letters[start : start + length]
         if not spread:
             if letters[begin:end] == passage and (not item.whole_words or same_words(item, start, length, starts, begin)):
