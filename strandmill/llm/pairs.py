@@ -51,3 +51,19 @@ def expanded_pairs(links: DataFrame, classes: DataFrame, record: str, heavy_rows
     whole = spread(several.select(F.col("copy_of").alias("a"), F.col(record).alias("y")), "a", heavy)
     within = pieces.join(whole, ["a", SLICE]).where("x < y").select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def cross_pairs(links: DataFrame, members: DataFrame, heavy_rows: int | None = None) -> DataFrame:
+    """``a, b``: every record of side 1 and of side 2 whose classes are one or linked.
+
+    ``links`` has classes ``a, b``; ``members`` has ``copy_of, number, side``.
+    Large classes are cut into slices as in :func:`expanded_pairs`.
+    """
+    limits = [] if heavy_rows is None else [heavy_rows]
+    same = members.select(F.col("copy_of").alias("a"), F.col("copy_of").alias("b")).distinct()
+    across = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
+    for side, other, name, number in (("a", "b", "x", 1), ("b", "x", "y", 2)):
+        own = members.where(F.col("side") == number).select(F.col("copy_of").alias(side), F.col("number").alias(name))
+        heavy = heavy_keys(own, side, *limits)
+        across = spread(across, side, heavy).join(sliced(own, side, heavy, [name]), [side, SLICE]).select(name, other)
+    return across.select(F.col("x").alias("a"), F.col("y").alias("b"))

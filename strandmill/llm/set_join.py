@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.pairs import copy_classes, expanded_pairs
+from strandmill.llm.pairs import copy_classes, cross_pairs, expanded_pairs
+from strandmill.operators.skew import HEAVY_ROWS, SLICE, heavy_counts, sliced, spread
 from strandmill.workspace import Workspace
 
 #: Mean number of values in a segment of the longest sets of a length class.
@@ -169,13 +170,15 @@ def record_sets(rows: DataFrame, record: str, value: str, least: int) -> DataFra
     return sets.withColumn("size", F.size("members")).where(F.col("size") >= least)
 
 
-def similar_representatives(sets: DataFrame, similarity: float, least: int, work: Workspace, frequent_from: int = FREQUENT) -> DataFrame:
-    """``a, b``: all pairs of the given distinct sets (record, members, size) with the similarity or more."""
+def similar_representatives(sets: DataFrame, similarity: float, least: int, work: Workspace, frequent_from: int = FREQUENT, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """``a, b``: all pairs of the given distinct sets (record, members, size) with the similarity or more.
+
+    With a column ``sides`` (bit 1: a set of the left table, bit 2: of the
+    right) only pairs of a left and a right set are wanted.
+    """
     bounds = Bounds(similarity, least)
-    often = (
-        sets.select(F.explode("members").alias("value")).groupBy("value").count()
-        .where(F.col("count") >= frequent_from).orderBy(F.desc("count"), "value").limit(MOST_FREQUENT).collect()
-    )
+    counted = work.keep(sets.select(F.explode("members").alias("value")).groupBy("value").count().where(F.col("count") >= frequent_from), "frequent")
+    often = counted.orderBy(F.desc("count"), "value").limit(MOST_FREQUENT).collect()
     by_value = sorted((r["value"], r["count"]) for r in often)
     frequent = np.array([v for v, _ in by_value], np.int64)
     counts = np.array([n for _, n in by_value], np.int64)
@@ -189,13 +192,19 @@ def similar_representatives(sets: DataFrame, similarity: float, least: int, work
     )
     lost = work.keep(narrow.mapInArrow(lambda batches: uncovered_batches(batches, frequent, counts, bounds), "value long, record long, size int"), "uncovered")
     if not lost.isEmpty():
-        values = sets.select(F.explode("members").alias("value"), "record", "size").alias("q")
-        rare = lost.alias("p").join(values, F.expr(f"p.value = q.value and {near}"))
+        # the rarest values of a set may be in very many sets: the lists of those are cut into slices
+        heavy = heavy_counts(counted, "value", "count", heavy_rows)
+        values = sliced(sets.select(F.explode("members").alias("value"), "record", "size"), "value", heavy, ["record"])
+        rare = spread(lost, "value", heavy).alias("p").join(values.alias("q"), F.expr(f"p.value = q.value and p.{SLICE} = q.{SLICE} and {near}"))
         candidates = candidates.unionByName(rare.select(F.col("p.record").alias("a"), F.col("q.record").alias("b")))
     candidates = candidates.distinct()
-    left = sets.select(F.col("record").alias("a"), F.col("members").alias("of_a"))
-    right = sets.select(F.col("record").alias("b"), F.col("members").alias("of_b"))
-    both = candidates.join(left, "a").join(right, "b").select("a", "b", F.size("of_a").alias("m"), F.size("of_b").alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
+    sided = ["sides"] if "sides" in sets.columns else []
+    left = sets.select(F.col("record").alias("a"), F.col("members").alias("of_a"), *[F.col(c).alias("side_a") for c in sided])
+    right = sets.select(F.col("record").alias("b"), F.col("members").alias("of_b"), *[F.col(c).alias("side_b") for c in sided])
+    both = candidates.join(left, "a").join(right, "b")
+    if sided:
+        both = both.where("(side_a & 1 > 0 AND side_b & 2 > 0) OR (side_a & 2 > 0 AND side_b & 1 > 0)")
+    both = both.select("a", "b", F.size("of_a").alias("m"), F.size("of_b").alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("common"))
     return both.where(f"common * {1 + similarity!r}D >= {similarity!r}D * (m + n) - 1e-9D").select("a", "b")
 
 
@@ -218,3 +227,21 @@ def similar_set_pairs(rows: DataFrame, record: str, value: str, similarity: floa
     """``a, b`` (a < b): every pair of records whose sets are similar, equal sets included."""
     links, classes = similar_sets(rows, record, value, similarity, least, frequent_from)
     return expanded_pairs(links, classes, "record")
+
+
+def similar_sets_between(left: DataFrame, right: DataFrame, record: str, value: str, similarity: float = 0.5, least: int = 8, frequent_from: int = FREQUENT) -> DataFrame:
+    """``a, b``: every pair of a record ``a`` of ``left`` and a record ``b`` of ``right`` whose sets are similar, equal sets included.
+
+    Both tables have the columns ``record`` and ``value``; a number that both
+    tables use means two records. Nulls, repeats, small sets, other columns and
+    empty tables as in :func:`similar_sets`.
+    """
+    work = Workspace(left.sparkSession, "sets")
+    sides = [record_sets(rows, record, value, least).withColumn("side", F.lit(side)) for side, rows in ((1, left), (2, right))]
+    both = sides[0].unionByName(sides[1]).withColumnRenamed("record", "number")
+    sets = work.keep(both.withColumn("record", F.monotonically_increasing_id()), "sets")
+    classes = work.keep(copy_classes(sets, "record", "members").join(sets.select("record", "number", "side"), "record"), "classes")
+    present = classes.groupBy(F.col("copy_of").alias("record")).agg(F.bit_or("side").alias("sides"))
+    distinct = sets.select("record", "members", "size").join(present, "record")
+    links = work.keep(similar_representatives(distinct, similarity, least, work, frequent_from), "links")
+    return cross_pairs(links, classes.select("copy_of", "number", "side"))
