@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 
 _CODE = np.full(256, 4, np.uint8)
@@ -16,6 +18,8 @@ _FIELD = 20
 #: Field of the matches where columns travel by themselves.
 _WIDE_FIELD = 28
 _NOTHING = -(1 << 61)
+#: Diagonals to either side that are tried first, and cells of a row over all pairs of a group.
+_FIRST_BAND, _GROUP_CELLS = 16, 60_000
 
 
 def codes(sequence: str) -> np.ndarray:
@@ -81,50 +85,108 @@ def minimizers(sequence: str, k: int, window: int) -> tuple[np.ndarray, np.ndarr
 
 
 def banded_alignment(query: np.ndarray, target: np.ndarray, band: int) -> tuple[int, int, int]:
-    """Score, matches and columns of the best end-to-end alignment with affine gaps within a band of diagonals.
+    """:func:`banded_alignments` of one pair."""
+    return banded_alignments([(query, target)], band)[0]
+
+
+def banded_alignments(pairs: Sequence[tuple[np.ndarray, np.ndarray]], band: int) -> list[tuple[int, int, int]]:
+    """Score, matches and columns of the best end-to-end alignments with affine gaps within a band of diagonals.
 
-    Of alignments with one score the one with more matches counts. The three
-    figures travel in one integer a cell, so no traceback is kept; rows are
-    bands, so memory does not grow with the product of the lengths. Where the
-    columns could exceed their field, they travel in a second one. ``band``
-    under 0 means no band. Code 4 matches nothing.
+    Of alignments with one score the one with more matches counts. ``band``
+    under 0 means no band. Code 4 matches nothing. A narrow band is tried
+    first: it is wide enough once its score is beyond what a path that leaves
+    it could reach; otherwise the pair is aligned again in one four times as wide.
     """
-    n, m = len(query), len(target)
-    if not n or not m:
-        longest = max(n, m)
-        return (GAP_OPEN + GAP_EXTEND * longest if longest else 0), 0, longest
-    if n == m and not (query == 4).any() and np.array_equal(query, target):
-        return MATCH * n, n, n
-    half = max(n, m) if band < 0 else band + abs(m - n)
+    found: list = [None] * len(pairs)
+    left = []
+    for i, (query, target) in enumerate(pairs):
+        n, m = len(query), len(target)
+        if not n or not m:
+            longest = max(n, m)
+            found[i] = (GAP_OPEN + GAP_EXTEND * longest if longest else 0), 0, longest
+        elif n == m and not (query == 4).any() and np.array_equal(query, target):
+            found[i] = MATCH * n, n, n
+        else:
+            left.append(i)
+    reach = _FIRST_BAND
+    while left:
+        groups: dict[int, list[int]] = {}
+        whole = {}
+        for i in left:
+            n, m = len(pairs[i][0]), len(pairs[i][1])
+            whole[i] = max(n, m) if band < 0 else band + abs(m - n)
+            groups.setdefault(min(whole[i], reach + abs(m - n)), []).append(i)
+        left = []
+        for half, group in groups.items():
+            for i, figures in zip(group, aligned_within([pairs[i] for i in group], half)):
+                n, m = len(pairs[i][0]), len(pairs[i][1])
+                gaps = 2 * (half + 1) - abs(m - n)
+                beyond = (n + m - gaps) * MATCH // 2 + GAP_EXTEND * gaps + 2 * GAP_OPEN
+                if half == whole[i] or figures[0] > beyond:
+                    found[i] = figures
+                else:
+                    left.append(i)
+        reach *= 4
+    return found
+
+
+def aligned_within(pairs: Sequence[tuple[np.ndarray, np.ndarray]], half: int) -> list[tuple[int, int, int]]:
+    """The figures of pairs that are aligned within ``half`` diagonals to either side, several pairs at once."""
+    found: list = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][0]))
+    short = [i for i in order if len(pairs[i][0]) + len(pairs[i][1]) < 1 << _FIELD]
+    size = max(1, _GROUP_CELLS // (2 * half + 1))
+    for begin in range(0, len(short), size):
+        group = short[begin : begin + size]
+        for i, figures in zip(group, packed_alignments([pairs[i] for i in group], half)):
+            found[i] = figures
+    for i in order[len(short) :]:
+        found[i] = wide_alignment(*pairs[i], half)
+    return found
+
+
+def packed_alignments(pairs: Sequence[tuple[np.ndarray, np.ndarray]], half: int) -> list[tuple[int, int, int]]:
+    """Alignment of pairs whose queries ascend in length; all advance by one row at a time.
+
+    Score, matches and columns travel in one integer a cell, so no traceback is
+    kept; rows are bands, so memory does not grow with the product of the lengths.
+    """
+    n, m = (np.array([len(pair[side]) for pair in pairs]) for side in (0, 1))
     width = 2 * half + 1
-    if n + m >= 1 << _FIELD:
-        return wide_alignment(query, target, half)
     unit = 1 << (2 * _FIELD)
     match = MATCH * unit + (1 << _FIELD) + 1
     mismatch, extend, opening = MISMATCH * unit + 1, GAP_EXTEND * unit + 1, GAP_OPEN * unit
     offsets = np.arange(width) - half  # target place minus query place
     climb = np.arange(width) * extend
-    best = np.where(offsets == 0, 0, np.where((offsets > 0) & (offsets <= m), opening + offsets * extend, _NOTHING))
-    down = np.full(width, _NOTHING)
-    padded = np.full(max(n, m) + 2 * half + 2, 5, np.uint8)
-    padded[half : half + m] = target
-    for i in range(1, n + 1):
-        segment = padded[i - 1 : i - 1 + width]
+    queries = np.full((int(n[-1]), len(pairs)), 4, np.uint8)
+    padded = np.full((len(pairs), int(max(n.max(), m.max())) + 2 * half + 2), 5, np.uint8)
+    for k, (query, target) in enumerate(pairs):
+        queries[: len(query), k] = query
+        padded[k, half : half + len(target)] = target
+    best = np.where(offsets == 0, 0, np.where((offsets > 0) & (offsets <= m[:, None]), opening + offsets * extend, _NOTHING))
+    down = np.full(best.shape, _NOTHING)
+    cells = np.zeros(len(pairs), np.int64)
+    first = 0
+    for i in range(1, int(n[-1]) + 1):
+        segment, letters, limit = padded[first:, i - 1 : i - 1 + width], queries[i - 1, first:, None], m[first:, None]
         column = offsets + i
-        step = np.where((segment == query[i - 1]) & (segment < 4), match, mismatch)
-        diagonal = np.where((column >= 1) & (column <= m), best + step, _NOTHING)
-        above = np.append(best[1:], _NOTHING)
-        down = np.maximum(np.append(down[1:], _NOTHING), above + opening) + extend
-        down = np.where((column >= 0) & (column <= m), down, _NOTHING)
+        step = np.where((segment == letters) & (segment < 4), match, mismatch)
+        diagonal = np.where((column >= 1) & (column <= limit), best + step, _NOTHING)
+        above = np.full_like(best, _NOTHING)
+        above[:, :-1] = np.maximum(down[:, 1:], best[:, 1:] + opening)
+        inside = (column >= 0) & (column <= limit)
+        down = np.where(inside, above + extend, _NOTHING)
         entry = np.maximum(diagonal, down)
         # a gap along the row: the best earlier entry, lowered by the opening and by each letter since
-        right = np.full(width, _NOTHING)
-        right[1:] = np.maximum.accumulate(np.maximum(entry, _NOTHING // 2) - climb)[:-1] + climb[1:] + opening
-        best = np.where((column >= 0) & (column <= m), np.maximum(np.maximum(entry, right), _NOTHING), _NOTHING)
-    cell = int(best[half + m - n])
-    columns = cell & ((1 << _FIELD) - 1)
-    matches = (cell >> _FIELD) & ((1 << _FIELD) - 1)
-    return cell >> (2 * _FIELD), matches, columns
+        right = np.full_like(best, _NOTHING)
+        right[:, 1:] = np.maximum.accumulate(np.maximum(entry, _NOTHING // 2) - climb, axis=1)[:, :-1] + climb[1:] + opening
+        best = np.where(inside, np.maximum(np.maximum(entry, right), _NOTHING), _NOTHING)
+        ended = int(np.searchsorted(n, i, "right"))
+        if ended > first:
+            cells[first:ended] = best[np.arange(ended - first), half + (m - n)[first:ended]]
+            best, down, first = best[ended - first :], down[ended - first :], ended
+    field = (1 << _FIELD) - 1
+    return [(c >> (2 * _FIELD), (c >> _FIELD) & field, c & field) for c in cells.tolist()]
 
 
 def larger(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
