@@ -34,6 +34,12 @@ def fit_transition(spark: SparkSession, folder: str) -> DataFrame:
     return crossing.groupBy("sample_label").agg(F.min_by(spot, "x").alias("crossing")).withColumn("crossing", _rounded("crossing"))
 
 
+def half_transition(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each sample's curve first crosses a coverage of one half, else its last point."""
+    found = M.transition(M.fit_input(model_points_clean(spark, folder)))
+    return found.select("sample_label", _rounded("transition").alias("transition"))
+
+
 def burr_cdf(spark: SparkSession, folder: str) -> DataFrame:
     """The Burr XII family with fixed parameters at the effort of every model point."""
     points = model_points_clean(spark, folder).where("effort > 0")
@@ -80,7 +86,7 @@ def plot_bars(spark: SparkSession, folder: str) -> DataFrame:
     return M.selected_models(points, M.family_fits(points)).where("diversity IS NOT NULL").select("sample_label", "diversity", "diversity_q99")
 
 
-QUERIES = {f.__name__: f for f in (model_points_clean, fit_input, fit_transition, burr_cdf, gamma_cdf, family_fits, selected_models, family_curves, plot_guides, plot_points, plot_bars)}
+QUERIES = {f.__name__: f for f in (model_points_clean, fit_input, fit_transition, half_transition, burr_cdf, gamma_cdf, family_fits, selected_models, family_curves, plot_guides, plot_points, plot_bars)}
 
 
 def _one(column: str) -> str:
@@ -97,6 +103,9 @@ SQL = {
     "fit_input": f"WITH {_POINTS} SELECT sample_label, portion, {_R.format('x')} AS x, y FROM fits",
     "fit_transition": f"""WITH {_POINTS}, steps AS (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS b FROM fits WINDOW w AS (PARTITION BY sample_label ORDER BY x))
  SELECT sample_label, {_R.format('min_by(bx + (0.1 - b) * (x - bx) / (y - b), x)')} AS crossing FROM steps WHERE (b - 0.1) * (y - 0.1) <= 0 AND y <> b GROUP BY sample_label""",
+    "half_transition": f"""WITH {_POINTS}, steps AS (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS b FROM fits WINDOW w AS (PARTITION BY sample_label ORDER BY x)),
+ places AS (SELECT *, CASE WHEN (b - 0.5) * (y - 0.5) <= 0 THEN bx + (CASE WHEN abs(y - b) < 1e-12 THEN 0.5 ELSE greatest(0, least(1, (0.5 - b) / (y - b))) END) * (x - bx) END AS place FROM steps)
+ SELECT sample_label, {_R.format('coalesce(min_by(place, x) FILTER (place IS NOT NULL), max(x))')} AS transition FROM places GROUP BY sample_label""",
     "burr_cdf": f"WITH {_POINTS} SELECT sample_label, portion, {_R.format('1 - pow(1 + pow(ln(1 + effort) / 20, 3), -2)')} AS coverage FROM points WHERE effort > 0",
     "gamma_cdf": f"""WITH {_POINTS}, z AS (SELECT sample_label, portion, 1.5::DOUBLE * ln(1 + effort) AS z FROM points WHERE effort > 0),
  terms AS (SELECT sample_label, portion, exp(20 * ln(z) - z + n * ln(z) - lgamma(21.0::DOUBLE + n)) AS t FROM z CROSS JOIN range(0, 400) r(n))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.config import Settings, odd_span_window
@@ -21,7 +21,7 @@ from strandmill.sources import readers as R
 from strandmill.sources import writers as S
 from strandmill.workspace import Workspace
 
-PARAMETERS = "sample_label string, reads long, bases long, window int, sketch_size int, minimum_hits int, p_value double"
+PARAMETERS = "sample_label string, reads long, bases long, window int, sketch_size int, minimum_hits int, p_value double, fragment_length int, recommended_window int, recommended_hits int"
 #: Bits of a read number that count the reads of one file; the higher ones count the files.
 READ_BITS = 40
 
@@ -38,6 +38,7 @@ class Run:
     models: DataFrame
     points: DataFrame
     curves: DataFrame
+    settings: Settings
 
 
 def load_samples(spark: SparkSession, samples: Sequence[tuple[str, str]]) -> DataFrame:
@@ -48,16 +49,16 @@ def load_samples(spark: SparkSession, samples: Sequence[tuple[str, str]]) -> Dat
     """
     if not samples:
         raise ValueError("no sample is given")
+    files = [(R.plain_uri(file), label) for path, label in samples for file in R.files_of(spark, path)]
+    known = spark.createDataFrame([(file, label, number << READ_BITS) for number, (file, label) in enumerate(files)], "path string, sample_label string, first long")
     tables = []
-    for number, (path, label) in enumerate(samples):
-        fasta = path.removesuffix(".gz").endswith((".fa", ".fasta"))
-        reads = R.read_fasta(spark, path) if fasta else R.read_fastq(spark, path)
-        placed = F.lit(number << READ_BITS).cast("long") + F.col("read_idx").cast("long")
-        tables.append(reads.select(F.lit(label).alias("sample_label"), placed.alias("read_idx"), "id", "seq"))
-    union = tables[0]
-    for other in tables[1:]:
-        union = union.unionByName(other)
-    return union
+    for fasta, read in ((True, R.read_fasta), (False, R.read_fastq)):
+        paths = [file for file, _ in files if file.removesuffix(".gz").endswith((".fa", ".fasta")) == fasta]
+        if paths:
+            # one scan for all files of a kind; the list of files is given by the caller
+            reads = read(spark, [R.readable(path) for path in paths]).withColumn("path", R.plain_path(F.col("path")))
+            tables.append(reads.join(F.broadcast(known), "path").select("sample_label", (F.col("first") + F.col("read_idx")).alias("read_idx"), "id", "seq"))
+    return tables[0] if len(tables) == 1 else tables[0].unionByName(tables[1])
 
 
 def sample_parameters(samples: DataFrame, settings: Settings) -> DataFrame:
@@ -68,7 +69,8 @@ def sample_parameters(samples: DataFrame, settings: Settings) -> DataFrame:
             found = [filter_parameters(fragment_length(int(r), int(b), settings.k), settings.k, settings.identity, settings.p_value, settings.reference_size) for r, b in zip(frame["reads"], frame["bases"])]
             yield frame.assign(
                 window=[odd_span_window(settings.k, settings.window or f.window) for f in found], sketch_size=[f.sketch_size for f in found],
-                minimum_hits=[max(f.minimum_hits, 1) if settings.minimum_hits is None else settings.minimum_hits for f in found], p_value=[f.p_value for f in found],
+                minimum_hits=[max(f.minimum_hits, 1) if settings.minimum_hits is None else settings.minimum_hits for f in found], p_value=[f.p_value for f in found], fragment_length=[fragment_length(int(r), int(b), settings.k) for r, b in zip(frame["reads"], frame["bases"])],
+                recommended_window=[f.window for f in found], recommended_hits=[f.minimum_hits for f in found],
             )
 
     return samples.select("sample_label", "reads", "bases").mapInPandas(derive, PARAMETERS)
@@ -80,7 +82,7 @@ def find_mates(reads: DataFrame, settings: Settings, work: Workspace) -> DataFra
     One index serves all samples: the sample's name is mixed into the hash, so
     reads of different samples share no seed and occurrences are counted by
     sample. ``query, mate, rev, identity, ratio, coverage, score, matches,
-    edits, passes, candidates, aligned``; nulls where no mate was found.
+    mismatches, passes, candidates, windows, aligned``; nulls where no mate was found.
     """
     found = minimizers(reads, settings.k, "window")
     facts = reads.select("read_idx", "sample_label", "len", "minimum_hits")
@@ -95,11 +97,11 @@ def find_mates(reads: DataFrame, settings: Settings, work: Workspace) -> DataFra
     by_sketch = M.sketch_mates(facts, best, settings)
     if settings.alignment_targets == 0:
         return by_sketch.select(
-            "query", "mate", "rev", "identity", "ratio", "coverage", "score", F.col("shared").alias("matches"), (F.col("denominator") - F.col("shared")).alias("edits"), "passes", "candidates", F.col("windows").alias("aligned")
+            "query", "mate", "rev", "identity", "ratio", "coverage", "score", F.col("shared").alias("matches"), (F.col("denominator") - F.col("shared")).alias("mismatches"), "passes", "candidates", "windows", F.col("windows").alias("aligned")
         )
-    columns = ["query", "mate", "rev", "identity", "ratio", "coverage", "score", "matches", "edits", "passes", "aligned"]
-    joined = by_sketch.select("query", "candidates").join(aligned_mates(reads, best, settings).select(*columns), "query", "left")
-    return joined.select(*columns[:-2], F.coalesce("passes", F.lit(False)).alias("passes"), "candidates", F.coalesce("aligned", F.lit(0)).alias("aligned"))
+    columns = ["query", "mate", "rev", "identity", "ratio", "coverage", "score", "matches", "mismatches", "passes", "aligned"]
+    joined = by_sketch.select("query", "candidates", "windows").join(aligned_mates(reads, best, settings).select(*columns), "query", "left")
+    return joined.select(*columns[:-2], F.coalesce("passes", F.lit(False)).alias("passes"), "candidates", "windows", F.coalesce("aligned", F.lit(0)).alias("aligned"))
 
 
 def analyse(reads: DataFrame, settings: Settings | None = None) -> Run:
@@ -127,13 +129,13 @@ def analyse(reads: DataFrame, settings: Settings | None = None) -> Run:
     fits = work.keep(O.family_fits(points), "fits")
     models = O.selected_models(points, fits)
     chosen = O.family_curves(points, fits).join(models.select("sample_label", "family"), ["sample_label", "family"], "left_semi")
-    return Run(rows, parameters, mates, values, summary, models, O.fitted_points(points, models), chosen)
+    return Run(rows, parameters, mates, values, summary, models, O.fitted_points(points, models), chosen, settings)
 
 
 def mates_report(mates: DataFrame) -> DataFrame:
     """The mates table of a run; a dot and zeros where a read has no best mate."""
     zero = {"best_identity": "identity", "best_alignment_ratio": "ratio", "best_query_coverage": "coverage"}
-    whole = {"best_score": "score", "best_matches": "matches", "best_edits": "edits"}
+    whole = {"best_score": "score", "best_matches": "matches", "best_mismatches": "mismatches"}
     return mates.select(
         "sample_label", "read_idx", S.escaped(F.col("id")).alias("query_id"), F.col("len").alias("query_len"), F.col("passes").cast("int").alias("mate_count"), F.col("candidates").alias("candidate_count"), F.col("aligned").alias("aligned_count"),
         F.coalesce(S.escaped(F.col("mate_id")), F.lit(".")).alias("best_target"), *[S.fixed(F.coalesce(F.col(c), F.lit(0.0)), 6).alias(n) for n, c in zero.items()],
@@ -141,6 +143,33 @@ def mates_report(mates: DataFrame) -> DataFrame:
     )
 
 
+def run_facts(run: Run) -> DataFrame:
+    """``sample_label, place, key, value``: what each sample's results were made with, enough to make them again."""
+    settings, p = run.settings, F.col
+    counted = run.mates.groupBy("sample_label").agg(
+        F.sum("candidates").alias("candidates"), F.sum("windows").alias("windows"), F.sum("aligned").alias("aligned"), F.sum(F.col("passes").cast("long")).alias("passing")
+    )
+    aligned = settings.alignment_targets > 0
+    # Keys of a summary file
+    facts = {
+        "sample": p("sample_label"), "reads": p("reads"), "bases": p("bases"), "candidate_source": "shared_minimizers_in_diagonal_bins", "overlap_source": "best_offset_of_a_grid",
+        "prefilter_identity_source": "bottom_k_of_minimizers_in_the_window", "identity_source": "banded_affine_alignment" if aligned else "bottom_k_of_minimizers_in_the_window",
+        "final_alignment_source": "banded_affine_alignment" if aligned else "disabled", "alignment_ratio_definition": "overlap_len/min(query_len,target_len)", "query_coverage_definition": "overlap_len/query_len",
+        "kmer": settings.k, "p_value": settings.p_value, "filter_fragment_len": p("fragment_length"), "filter_fragment_len_source": "mean_read_len", "reference_size": settings.reference_size,
+        "filter_calibration_source": "filter_fragment_len_and_reference_size", "pvalue_recommended_minimizer_window": p("recommended_window"), "pvalue_recommended_sketch_size": p("sketch_size"),
+        "pvalue_recommended_min_shared_minimizers": p("recommended_hits"), "pvalue_at_recommended_sketch_size": p("p_value"), "requested_minimizer_window": settings.window or "auto",
+        "actual_minimizer_window": p("window"), "sketch_size": settings.sketch_size, "identity_threshold": settings.identity, "min_alignment_ratio": settings.least_ratio,
+        "min_query_coverage": settings.least_coverage, "requested_min_shared_minimizers": "auto" if settings.minimum_hits is None else settings.minimum_hits, "actual_min_shared_minimizers": p("minimum_hits"),
+        "prefilter_targets": settings.prefilter_targets, "alignment_targets": settings.alignment_targets, "alignment_targets_cap": 16, "final_bandwidth": settings.band, "max_hash_occ": settings.most_occurrences,
+        "diag_bin": settings.diagonal_bin, "slide_radius": settings.radius, "slide_step": settings.step, "candidate_edges": p("candidates"), "evaluated_windows": p("windows"),
+        "final_alignments": p("aligned") if aligned else 0, "best_mate_only": "true", "mate_count_definition": "passing_best_mates", "resampling_effort_unit": "bases",
+        "resampling_scheme": "bernoulli_reads_by_base_fraction", "redundancy_weighting": "query_bases", "passing_best_alignments": p("passing"), "replicates": settings.replicates, "divide": settings.divide, "seed": settings.seed,
+    }
+    entries = [F.struct(F.lit(key).alias("key"), (value if isinstance(value, Column) else F.lit(str(value))).cast("string").alias("value")) for key, value in facts.items()]
+    rows = run.parameters.join(counted, "sample_label", "left").select("sample_label", F.posexplode(F.array(*entries)).alias("place", "fact"))
+    return rows.select("sample_label", "place", "fact.key", F.coalesce("fact.value", F.lit("NA")).alias("value"))
+
+
 def plot_of(points: DataFrame, curves: DataFrame, diversity: DataFrame) -> str:
     """The plot of points and curves (sample_label, effort, coverage) and bars (sample_label, diversity); a few hundred rows a sample."""
 
@@ -171,5 +200,6 @@ def write_run(run: Run, prefix: str) -> None:
     kept = run.mates.where("keep").select("read_idx")
     S.write_ids(run.reads.drop("seq").join(kept, "read_idx"), f"{prefix}.nonredundant.ids")
     S.write_fastq(run.reads.join(kept, "read_idx"), f"{prefix}.nonredundant.fastq")
-    S.write_models(S.model_lines(run.models, run.points, run.curves), f"{prefix}.model")
+    S.write_models(S.summary_lines(run.summary, run_facts(run)), f"{prefix}.summary")
+    S.write_models(S.model_lines(S.with_model_facts(run.models, run.points), run.points, run.curves), f"{prefix}.model")
     write_text(spark, plot_of(run.points, run.curves, run.models), f"{prefix}.svg")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -36,7 +38,35 @@ def numbered(lines: DataFrame, name: str = "number") -> DataFrame:
     return placed.withColumn("__in", F.row_number().over(inner) - 1).join(offsets, ["path", "block"]).withColumn(name, F.col("__in") + F.col("__before")).drop("__at", "__in", "__before")
 
 
-def text_rows(spark: SparkSession, path: str, separator: str = "\n") -> DataFrame:
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, a pattern or a folder, by name; none is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in system.globStatus(place) or []:
+        inner = system.listStatus(status.getPath()) if status.isDirectory() else [status]
+        found += [s.getPath().toUri().toString() for s in inner if s.isFile() and not s.getPath().getName().startswith(("_", "."))]
+    if not found:
+        raise FileNotFoundError(path)
+    return sorted(found)
+
+
+def plain_uri(uri: str) -> str:
+    """A file's address with one slash after the scheme of a local file."""
+    return re.sub("^file:/+", "file:/", uri)
+
+
+def plain_path(path: Column) -> Column:
+    """:func:`plain_uri` of a column."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def readable(uri: str) -> str:
+    """The address as a path for a reader."""
+    return unquote(uri)
+
+
+def text_rows(spark: SparkSession, path: str | list[str], separator: str = "\n") -> DataFrame:
     """``path, block, value`` of text files, gzipped ones included (those are one block each)."""
     rows = spark.read.option("lineSep", separator).text(path)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", "\r", "").alias("value"))
@@ -47,7 +77,7 @@ def normalized(sequence: Column) -> Column:
     return F.regexp_replace(F.translate(F.upper(F.regexp_replace(sequence, r"\s", "")), "U", "T"), "[^ACGTN]", "N")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path, read_idx, id, seq`` of FASTA files. The whole header line is the id; reads without bases are left out but keep their number."""
     records = text_rows(spark, path, "\n>").withColumn("value", F.regexp_replace("value", r"^>", "")).where("value <> ''")
     parts = F.split("value", "\n", 2)
@@ -55,7 +85,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return named.where("seq <> ''")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``path, read_idx, id, seq`` of FASTQ files of four lines a record; qualities are dropped, reads without bases left out."""
     lines = numbered(text_rows(spark, path), "line").where("value <> '' OR line % 4 <> 0").withColumn("read_idx", F.expr("line div 4"))
     kept = lines.where("line % 4 < 2").groupBy("path", "read_idx").agg(F.max(F.when(F.col("line") % 4 == 0, F.col("value"))).alias("id"), F.max(F.when(F.col("line") % 4 == 1, F.col("value"))).alias("seq"))

@@ -49,18 +49,27 @@ def write_fastq(reads: DataFrame, path: str) -> None:
 
 def model_lines(models: DataFrame, points: DataFrame, curves: DataFrame) -> DataFrame:
     """``sample_label, section, place, line`` of a model file for each sample: header, observed rows, curve rows."""
-    keys = ["family", "parameters", "reads", "bases", "kappa", "effort_at_target", "diversity", "diversity_q99", "remaining_diversity", "model_r", "note"]
-    names = dict(zip(keys, ["model_family", "model_params", "reads", "bases", "kappa", "LRstar", "diversity", "diversity_q99", "remaining_diversity_at_observed_effort", "modelR", "note"]))
+    # Keys of a model file by the column that holds each; a column that the models lack gives no line
+    names = {
+        "family": "model_family", "parameters": "model_params", "reads": "reads", "bases": "bases", "average_read_length": "average_read_length", "coverage_factor": "coverage_factor", "kappa": "kappa",
+        "observed_coverage": "C", "effort": "LR", "effort_at_target": "LRstar", "diversity": "diversity", "diversity_definition": "diversity_definition", "diversity_q99": "diversity_q99",
+        "remaining_diversity": "remaining_diversity_at_observed_effort", "model_r": "modelR", "target_coverage": "target_coverage", "note": "note",
+    }
     kinds = dict(models.dtypes)
+    keys = [key for key in names if key in kinds]
 
     def text(key: str) -> Column:
         return fixed(F.col(key)) if kinds[key] == "double" else F.coalesce(F.col(key).cast("string"), F.lit("NA"))
 
+    def known(column: str) -> Column:
+        return fixed(F.col(column)) if column in points.columns else F.lit("NA")
+
     headers = models.select("sample_label", F.posexplode(F.array(*[F.concat(F.lit(f"# @{names[k]}: "), text(k)) for k in keys])).alias("place", "line")).withColumn("section", F.lit(0))
     titles = models.select("sample_label", F.lit(0).alias("place"), F.lit("\t".join(MODEL_COLUMNS)).alias("line"), F.lit(1).alias("section"))
+    spread = [known(c) for c in ("sd", "q1", "median", "q3", "coverage", "q1_coverage", "median_coverage", "q3_coverage", "fitted_coverage")]
     observed = points.select(
         "sample_label", F.row_number().over(_by_portion()).alias("place"),
-        F.concat_ws("\t", F.lit("observed"), "reads", "bases", fixed(F.col("portion")), fixed(F.col("effort")), fixed(F.col("redundancy")), *[F.lit("NA")] * 4, fixed(F.col("coverage")), *[F.lit("NA")] * 3, fixed(F.col("fitted_coverage"))).alias("line"),
+        F.concat_ws("\t", F.lit("observed"), "reads", "bases", fixed(F.col("portion")), fixed(F.col("effort")), fixed(F.col("redundancy")), *spread).alias("line"),
         F.lit(2).alias("section"),
     )
     model = curves.select(
@@ -83,8 +92,28 @@ def _by_effort():
     return Window.partitionBy("sample_label").orderBy("effort")
 
 
+def with_model_facts(models: DataFrame, points: DataFrame, target: float = 0.95) -> DataFrame:
+    """The models with what a model file says about its sample besides: read length, last effort and coverage, target."""
+    last = points.groupBy("sample_label").agg(F.max_by("coverage", "portion").alias("observed_coverage"), F.max("effort").alias("effort"))
+    facts = {
+        "average_read_length": F.try_divide(F.col("bases").cast("double"), F.col("reads")), "coverage_factor": F.lit(1.0), "target_coverage": F.lit(target),
+        "diversity_definition": F.lit("area_under_log_effort_survival_curve"),
+    }
+    return models.join(last, "sample_label", "left").withColumns(facts)
+
+
+def summary_lines(summary: DataFrame, facts: DataFrame) -> DataFrame:
+    """``sample_label, section, place, line`` of a summary file for each sample: its facts (sample_label, key, value, place), title and rows."""
+    headers = facts.select("sample_label", F.lit(0).alias("section"), "place", F.concat(F.lit("# @"), "key", F.lit(": "), "value").alias("line"))
+    columns = ["reads", "bases", "portion", "mean", "sd", "q1", "median", "q3"]
+    titles = summary.select("sample_label").distinct().select("sample_label", F.lit(1).alias("section"), F.lit(0).alias("place"), F.lit("\t".join(columns)).alias("line"))
+    values = [F.col(c).cast("string") if c in ("reads", "bases") else fixed(F.col(c)) for c in columns]
+    rows = summary.select("sample_label", F.lit(2).alias("section"), F.col("point").cast("int").alias("place"), F.concat_ws("\t", *values).alias("line"))
+    return headers.unionByName(titles).unionByName(rows)
+
+
 def write_models(lines: DataFrame, path: str) -> None:
-    """One folder a sample with its model file; a sample has a few hundred lines."""
+    """One folder a sample with its model or summary file; a sample has a few hundred lines."""
     ordered = lines.repartition("sample_label").sortWithinPartitions("sample_label", "section", "place")
     ordered.select("sample_label", "line").write.mode("overwrite").partitionBy("sample_label").text(path)
 

@@ -4,6 +4,9 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from strandmill.config import Settings
+from strandmill.operators.models import transition
+from strandmill.plans.redundancy import analyse, load_samples, run_facts
 from strandmill.sources import readers as R
 from strandmill.sources import writers as W
 from strandmill.streaming.reads import first_deliveries, running_totals
@@ -78,3 +81,45 @@ def test_stream_of_reads(spark, tmp_path):
         query.awaitTermination(120)
     assert sorted(r["read_idx"] for r in spark.table("firsts").collect()) == [1, 2, 3]
     assert sum(r["deliveries"] for r in spark.table("sums").collect()) == 5
+
+
+def test_model_files_keep_every_figure(spark, tmp_path):
+    models = spark.createDataFrame([("s", "gamma", 4, 100)], "sample_label string, family string, reads long, bases long")
+    given = (1.0, 4, 100, 0.5, 0.01, 0.3, 0.4, 0.5, 0.5, 0.3, 0.4, 0.5, 100.0, None)
+    columns = "portion double, reads long, bases long, redundancy double, sd double, q1 double, median double, q3 double, coverage double, q1_coverage double, median_coverage double, q3_coverage double, effort double, fitted_coverage double"
+    points = spark.createDataFrame([("s", *given)], f"sample_label string, {columns}")
+    curves = spark.createDataFrame([], "sample_label string, family string, effort double, coverage double")
+    W.write_models(W.model_lines(W.with_model_facts(models, points), points, curves), str(tmp_path / "out"))
+    headers, rows = R.read_models(spark, str(tmp_path / "out/sample_label=s"))
+    found = rows.collect()[0]
+    names = {"redundancy": "redundant_fraction", "effort": "adjusted_effort_bp"}
+    assert [found[names.get(c.split()[0], c.split()[0])] for c in columns.split(", ")] == list(given)
+    header = R.model_headers(headers).collect()[0]["header"]
+    assert float(header["average_read_length"]) == 25 and float(header["C"]) == 0.5 and float(header["LR"]) == 100 and float(header["target_coverage"]) == 0.95
+
+
+def test_samples_of_many_files_are_read_at_once(spark, tmp_path):
+    (tmp_path / "a b.fa").write_text(">x\nACGT\n>y\nAC\n")
+    (tmp_path / "c.fasta").write_text(">z\nGG\n")
+    (tmp_path / "d.fq").write_text("@q\nTT\n+\nII\n")
+    samples = [(str(tmp_path / "c.fasta"), "two"), (str(tmp_path / "a b.fa"), "one"), (str(tmp_path / "d.fq"), "two")]
+    found = [(r["sample_label"], r["id"], r["seq"]) for r in load_samples(spark, samples).orderBy("read_idx").collect()]
+    assert found == [("two", "z", "GG"), ("one", "x", "ACGT"), ("one", "y", "AC"), ("two", "q", "TT")]
+    with pytest.raises(FileNotFoundError):
+        load_samples(spark, [(str(tmp_path / "none.fa"), "x")])
+
+
+def test_transition(spark):
+    points = [("a", 1.0, 0.1), ("a", 2.0, 0.3), ("a", 3.0, 0.7), ("b", 1.0, 0.1), ("b", 4.0, 0.2), ("c", 1.0, 0.5), ("c", 2.0, 0.5)]
+    found = transition(spark.createDataFrame(points, "sample_label string, x double, y double")).collect()
+    assert {r["sample_label"]: round(r["transition"], 6) for r in found} == {"a": 2.5, "b": 4.0, "c": 1.5}
+
+
+def test_summary_files_say_how_they_were_made(spark, tmp_path):
+    rows = [("s", n, f"r{n}", "ACGTTGCAAC" * 30) for n in range(3)]
+    run = analyse(spark.createDataFrame(rows, "sample_label string, read_idx long, id string, seq string"), Settings(replicates=2))
+    W.write_models(W.summary_lines(run.summary, run_facts(run)), str(tmp_path / "out"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "out/sample_label=s")).collect()]
+    facts = dict(line[3:].split(": ", 1) for line in lines if line.startswith("# @"))
+    assert facts["reads"] == "3" and facts["bases"] == "900" and facts["kmer"] == "16" and facts["seed"] == "1" and facts["requested_minimizer_window"] == "auto"
+    assert len(facts) > 45 and "NA" not in facts.values() and "reads\tbases\tportion\tmean\tsd\tq1\tmedian\tq3" in lines
