@@ -44,16 +44,20 @@ def one_hop(hops: DataFrame, state: DataFrame, heavy: list) -> DataFrame:
     return sent.groupBy("src").agg(F.min("best").alias("best"), F.min(F.when(F.col("delay") == 0, F.col("best"))).alias("own"))
 
 
-def grown_clusters(links: DataFrame, heavy: list, level: int, work: Workspace, rate: float, step: int, seed: int) -> DataFrame:
-    """``src, centre`` of every vertex of ``links`` (src, dst), which holds both directions.
+def with_stays(links: DataFrame) -> DataFrame:
+    """``src, dst, delay``: the links (src, dst), which hold both directions, and from each vertex to itself without a delay."""
+    stays = links.select("src").distinct().select("src", F.col("src").alias("dst"), F.lit(0.0).alias("delay"))
+    return links.select("src", "dst", F.lit(1.0).alias("delay")).unionByName(stays)
+
+
+def grown_clusters(hops: DataFrame, heavy: list, level: int, work: Workspace, rate: float, step: int, seed: int) -> DataFrame:
+    """``src, centre`` of every vertex of ``hops`` (see :func:`with_stays`).
 
     The state of a vertex is the earliest arrival so far and its centre. It is
     sent over the links, one hop later, until a round changes no vertex.
     """
-    vertices = links.select("src").distinct()
-    hops = links.select("src", "dst", F.lit(1.0).alias("delay")).unionByName(vertices.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("delay")))
+    state = hops.where("delay = 0").select("src", F.struct((-head_start("src", level, seed, rate)).alias("time"), F.col("src").alias("centre")).alias("best"))
     hops = sliced(hops, "src", heavy, ["dst"]) if heavy else hops
-    state = vertices.select("src", F.struct((-head_start("src", level, seed, rate)).alias("time"), F.col("src").alias("centre")).alias("best"))
     grown, number = True, 0
     while grown:
         for _ in range(step):
@@ -78,7 +82,8 @@ def linked_groups(links: DataFrame, a: str, b: str, rate: float = RATE, step: in
     limits = {} if heavy_rows is None else {"rows": heavy_rows}
     pairs = links.select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")).where("src <> dst")
     both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    current = work.keep(both, "links0")
+    current = work.keep(with_stays(work.keep(both, "links0")), "hops0")
+    work.forget("links0")
     smallest = None  # of the members of each vertex of the level; on the first level the vertex itself
     levels = []
     for level in range(MAX_LEVELS):
@@ -87,14 +92,16 @@ def linked_groups(links: DataFrame, a: str, b: str, rate: float = RATE, step: in
         members = clusters.withColumn("least", F.col("src")) if smallest is None else clusters.join(smallest.select(F.col("centre").alias("src"), "least"), "src")
         smallest = work.keep(members.groupBy("centre").agg(F.min("least").alias("least")), f"smallest{level}")
         levels.append((clusters, smallest))
-        from_cluster = lookup_join(current, clusters, "src", ["dst"], heavy).select(F.col("centre").alias("from"), "dst")
+        links = current.where("delay > 0").select("src", "dst")
+        from_cluster = lookup_join(links, clusters, "src", ["dst"], heavy).select(F.col("centre").alias("from"), "dst")
         to_cluster = lookup_join(from_cluster, clusters.select(F.col("src").alias("dst"), "centre"), "dst", ["from"], heavy)
         between = to_cluster.select(F.col("from").alias("src"), F.col("centre").alias("dst")).where("src <> dst").distinct()
         following = work.keep(between, f"links{level + 1}")
-        work.forget(f"links{level}")
-        current = following
-        if current.isEmpty():
+        work.forget(f"hops{level}")
+        if following.isEmpty():
             break
+        current = work.keep(with_stays(following), f"hops{level + 1}")
+        work.forget(f"links{level + 1}")
     else:
         raise RuntimeError(f"links between clusters are left after {MAX_LEVELS} levels")
 
