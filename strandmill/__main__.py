@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     for command in (plot, compare):
         command.add_argument("--model", action="append", default=[], help="a model file; may be repeated")
         command.add_argument("--prefix", required=True)
+    plot.add_argument("--label", action="append", default=[], help="a label for each model file, in their order")
     plot.add_argument("--list", help="a file with a model file and, optionally, a label a line")
     compare.add_argument("--target-coverage", type=float, default=0.95)
     compare.add_argument("--quantile", type=float, default=0.99)
@@ -39,24 +40,27 @@ def parser() -> argparse.ArgumentParser:
 
 def named_models(spark: SparkSession, files: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
     """Headers (sample_label, header) and rows of model files given as (path, label)."""
-    headers, rows = None, None
-    for path, label in files:
-        found = R.read_models(spark, path)
-        head = R.model_headers(found[0]).select(F.lit(label).alias("sample_label"), "header")
-        body = found[1].withColumn("sample_label", F.lit(label))
-        headers = head if headers is None else headers.unionByName(head)
-        rows = body if rows is None else rows.unionByName(body)
-    if rows is None:
+    if not files:
         raise ValueError("no model file is given")
-    return headers, rows
+    known = [(R.plain_uri(file), label) for path, label in files for file in R.files_of(spark, path)]
+    labels = F.broadcast(spark.createDataFrame(known, "path string, sample_label string"))
+    headers, rows = R.read_models(spark, *[R.readable(file) for file, _ in known])
+    named = R.model_headers(headers).withColumn("path", R.plain_path(F.col("path"))).join(labels, "path").select("sample_label", "header")
+    return named, rows.withColumn("path", R.plain_path(F.col("path"))).join(labels, "path").drop("path")
 
 
 def model_files(spark: SparkSession, arguments: argparse.Namespace) -> list[tuple[str, str]]:
-    """Paths and labels of the model files that the command line names."""
-    given = spark.createDataFrame([(p,) for p in arguments.model], "path string").select("path", R.model_label(F.col("path")).alias("label")) if arguments.model else None
-    listed = R.read_model_list(spark, arguments.list) if getattr(arguments, "list", None) else None
-    tables = [t for t in (given, listed) if t is not None]
-    return [(r["path"], r["label"]) for t in tables for r in t.collect()]
+    """Paths and labels of the model files that the command line names; labels given there go with the files in their order."""
+    files = []
+    if arguments.model:
+        given = spark.createDataFrame(list(enumerate(arguments.model)), "number int, path string").select("number", "path", R.model_label(F.col("path")).alias("label"))
+        files = [(r["path"], r["label"]) for r in given.orderBy("number").collect()]
+    if getattr(arguments, "list", None):
+        files += [(r["path"], r["label"]) for r in R.read_model_list(spark, arguments.list).collect()]
+    labels = getattr(arguments, "label", [])
+    if labels and len(labels) != len(files):
+        raise ValueError(f"{len(labels)} labels are given for {len(files)} model files")
+    return [(path, label) for (path, _), label in zip(files, labels)] if labels else files
 
 
 def run_coverage(spark: SparkSession, arguments: argparse.Namespace) -> None:

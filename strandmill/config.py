@@ -47,6 +47,7 @@ class Settings:
     replicates: int = 32
     divide: float = 0.70
     seed: int = 1
+    hash_seed: int = 0
     window: int | None = None
     minimum_hits: int | None = None
 
@@ -56,5 +57,5 @@ class Settings:
             raise ValueError("alignment_targets lies in 0 .. 16")
         if self.band < -1:
             raise ValueError("band is -1 or more")
-        if not 1 <= self.k <= 16:
-            raise ValueError("k lies in 1 .. 16")
+        if not 1 <= self.k <= 31:
+            raise ValueError("k lies in 1 .. 31")

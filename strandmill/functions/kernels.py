@@ -27,24 +27,25 @@ def codes(sequence: str) -> np.ndarray:
     return _CODE[np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)]
 
 
-def token(code: np.ndarray) -> np.ndarray:
-    """A one-to-one scrambling of 32-bit codes."""
-    low = np.uint64(0xFFFFFFFF)
-    code = code * np.uint64(0x9E3779B1) & low
-    code ^= code >> np.uint64(15)
-    code = code * np.uint64(0x85EBCA77) & low
-    return code ^ (code >> np.uint64(13))
-
-
-def canonical_tokens(code: np.ndarray, k: int) -> np.ndarray:
-    """Token of the smaller of each k-mer and its reverse complement (k up to 16), for a run of known bases."""
+def token(code: np.ndarray, bits: int = 32, seed: int = 0) -> np.ndarray:
+    """A one-to-one scrambling of codes of so many bits; another one for each seed."""
+    low = np.uint64((1 << bits) - 1)
+    code = code ^ (np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64) & low)
+    code = code * np.uint64(0x9E3779B1 if bits == 32 else 0x9E3779B97F4A7C15) & low
+    code ^= code >> np.uint64(15 if bits == 32 else 29)
+    code = code * np.uint64(0x85EBCA77 if bits == 32 else 0xD6E8FEB86659FD93) & low
+    return code ^ (code >> np.uint64(13 if bits == 32 else 31))
+
+
+def canonical_tokens(code: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Token of the smaller of each k-mer and its reverse complement (k up to 31), for a run of known bases."""
     n = len(code) - k + 1
     base = code.astype(np.uint64)
     forward, reverse = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for j in range(k):
         forward = (forward << np.uint64(2)) | base[j : j + n]
         reverse = (reverse << np.uint64(2)) | (np.uint64(3) - base[k - 1 - j : k - 1 - j + n])
-    return token(np.minimum(forward, reverse))
+    return token(np.minimum(forward, reverse), 32 if k <= 16 else 62, seed)
 
 
 def sliding_extreme(values: np.ndarray, width: int, extreme: np.ufunc, filler) -> np.ndarray:
@@ -59,7 +60,7 @@ def sliding_extreme(values: np.ndarray, width: int, extreme: np.ufunc, filler) -
     return extreme(suffix[:n], prefix[width - 1 : width - 1 + n])
 
 
-def minimizers(sequence: str, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+def minimizers(sequence: str, k: int, window: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and places of the k-mers that are smallest in some window of ``window`` k-mers.
 
     Windows lie within runs of known bases; every place that attains a window's
@@ -72,7 +73,7 @@ def minimizers(sequence: str, k: int, window: int) -> tuple[np.ndarray, np.ndarr
     for begin, end in zip(edges[:-1] + 1, edges[1:]):
         if end - begin < k + window - 1:
             continue
-        values = canonical_tokens(code[begin:end], k)
+        values = canonical_tokens(code[begin:end], k, seed)
         least = sliding_extreme(values, window, np.minimum, np.uint64(2**63))
         padded = np.concatenate((np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64)))
         highest = sliding_extreme(padded, window, np.maximum, np.uint64(0))

@@ -84,7 +84,7 @@ def find_mates(reads: DataFrame, settings: Settings, work: Workspace) -> DataFra
     sample. ``query, mate, rev, identity, ratio, coverage, score, matches,
     mismatches, passes, candidates, windows, aligned``; nulls where no mate was found.
     """
-    found = minimizers(reads, settings.k, "window")
+    found = minimizers(reads, settings.k, "window", settings.hash_seed)
     facts = reads.select("read_idx", "sample_label", "len", "minimum_hits")
     mixed = found.join(facts, "read_idx").withColumn("hash", F.xxhash64("sample_label", "hash")).drop("sample_label")
     seeds = work.keep(mixed, "seeds")
@@ -161,7 +161,7 @@ def run_facts(run: Run) -> DataFrame:
         "actual_minimizer_window": p("window"), "sketch_size": settings.sketch_size, "identity_threshold": settings.identity, "min_alignment_ratio": settings.least_ratio,
         "min_query_coverage": settings.least_coverage, "requested_min_shared_minimizers": "auto" if settings.minimum_hits is None else settings.minimum_hits, "actual_min_shared_minimizers": p("minimum_hits"),
         "prefilter_targets": settings.prefilter_targets, "alignment_targets": settings.alignment_targets, "alignment_targets_cap": 16, "final_bandwidth": settings.band, "max_hash_occ": settings.most_occurrences,
-        "diag_bin": settings.diagonal_bin, "slide_radius": settings.radius, "slide_step": settings.step, "candidate_edges": p("candidates"), "evaluated_windows": p("windows"),
+        "diag_bin": settings.diagonal_bin, "slide_radius": settings.radius, "slide_step": settings.step, "tab_hash_seed": settings.hash_seed, "candidate_edges": p("candidates"), "evaluated_windows": p("windows"),
         "final_alignments": p("aligned") if aligned else 0, "best_mate_only": "true", "mate_count_definition": "passing_best_mates", "resampling_effort_unit": "bases",
         "resampling_scheme": "bernoulli_reads_by_base_fraction", "redundancy_weighting": "query_bases", "passing_best_alignments": p("passing"), "replicates": settings.replicates, "divide": settings.divide, "seed": settings.seed,
     }

@@ -123,3 +123,16 @@ def test_fits_of_known_curves(family, p):
     assert abs(reports[family.name]["area_diversity"] - family.mean(p)) < 0.5
     assert [r["bic"] for r in family_reports(effort, coverage, effort[-1])] == sorted(r["bic"] for r in reports.values())
     assert family_reports(effort[:4], coverage[:4], 1.0) == []
+
+
+@pytest.mark.parametrize("k,seed", [(16, 0), (17, 0), (21, 5), (31, 9)])
+def test_long_kmers_and_seeds_are_neutral_to_the_strand(k, seed):
+    rng = random.Random(k)
+    read = bases(rng, 700)
+    tokens, places = K.minimizers(read, k, 20, seed)
+    back, mirrored = K.minimizers(read.translate(COMPLEMENT)[::-1], k, 20, seed)
+    assert len(tokens) > 40 and sorted(zip(tokens.tolist(), places.tolist())) == sorted(zip(back.tolist(), (700 - k - mirrored).tolist()))
+    assert max(tokens.tolist()) < 2**63
+    codes = np.arange(5000, dtype=np.uint64)
+    assert len(set(K.token(codes, 32 if k <= 16 else 62, seed).tolist())) == 5000
+    assert seed == 0 or K.minimizers(read, k, 20, 0)[0].tolist() != tokens.tolist()
